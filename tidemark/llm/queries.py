@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, sentencepiece_bpe, toxicity
+from tidemark.llm import language_id, ngram_join, sentencepiece_bpe, toxicity
 from tidemark.llm.common import held_out
 
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op7_sentencepiece": op7_sentencepiece, "op9_toxicity": op9_toxicity}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op7_sentencepiece": op7_sentencepiece, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
