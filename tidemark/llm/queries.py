@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, ngram_join, sentencepiece_bpe, toxicity
+from tidemark.llm import embedding_dedup, language_id, ngram_join, sentencepiece_bpe, toxicity
 from tidemark.llm.common import held_out
 
 
@@ -25,6 +25,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op7_sentencepiece": op7_sentencepiece, "op9_toxicity": op9_toxicity}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_sentencepiece": op7_sentencepiece, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
