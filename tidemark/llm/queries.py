@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, language_id, ngram_join, sentencepiece_bpe, toxicity
+from tidemark.llm import embedding_dedup, language_id, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
 from tidemark.llm.common import held_out
 
 
@@ -25,6 +25,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -39,8 +43,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_sentencepiece": op7_sentencepiece, "op9_toxicity": op9_toxicity}
+    every = (op1_language_id, op2_ngram_join, op3_mixing, op6_embedding_dedup, op7_sentencepiece, op9_toxicity, op10_secrets)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
