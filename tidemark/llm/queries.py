@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, language_id, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
+from tidemark.llm import embedding_dedup, language_id, mixing, ngram_join, secrets, sentencepiece_bpe, suffix_dedup, toxicity
 from tidemark.llm.common import held_out
 
 
@@ -37,6 +37,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     found = toxicity.score(documents, toxicity.fit_on_labels(documents, _table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_ngram_join, op3_mixing, op6_embedding_dedup, op7_sentencepiece, op9_toxicity, op10_secrets)
+    every = (op1_language_id, op2_ngram_join, op3_mixing, op6_embedding_dedup, op7_sentencepiece, op8_suffix_dedup, op9_toxicity, op10_secrets)
     return {f.__name__: f for f in every}
 
 
