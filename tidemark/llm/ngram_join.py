@@ -43,7 +43,7 @@ _A = np.random.default_rng(11).integers(1, 1 << 63, PLACES, dtype=np.uint64) | n
 def _word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    if len(_hashes) > 1_000_000:
+    if len(_hashes) > 250_000:
         _hashes.clear()
     get, of = _hashes.get, xxhash.xxh64_intdigest
     out = np.empty(len(words), dtype=np.uint64)
