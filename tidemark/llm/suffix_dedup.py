@@ -11,10 +11,12 @@ hashed gram in it, which equal windows share.
 2. Rank at the whole context of an anchor, the windows that it stands for: among equal contexts each but the
    first repeats an earlier one, and all its windows are settled. If all contexts of a gram are equal, the
    first is settled too.
-3. What is left, first contexts of grams that go on differently, is ranked window by window, doubling to the
-   threshold: by the name of the first half, where those alone leave, then by the pair of the names of both
-   halves. Each window but the first of a pair repeats.
-4. Removed bytes are the union of the repeating windows.
+3. First contexts of grams that go on differently are ranked at half the way to the threshold: a window holds,
+   besides the gram, half of what it has more on the left or on the right of it, so the names of the gram with
+   its left and with its right neighbourhood are compared, and the windows on a side that is alone leave.
+4. What is left is ranked window by window, doubling to the threshold: by the name of the first half, where
+   those alone leave, then by the pair of the names of both halves. Each window but the first of a pair repeats.
+5. Removed bytes are the union of the repeating windows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_shuffles, materialize
+from tidemark.llm.common import discard, free_shuffles, materialize
 
 THRESHOLD, GRAM, BLOCK = 100, 24, 1 << 18
 _rng = np.random.default_rng(23)
@@ -71,17 +73,17 @@ class Names:
         return (self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n]
 
 
-def anchors(data: np.ndarray, valid: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram's name, context's name, first window, windows) of the anchors of the windows that are valid."""
+def anchors(data: np.ndarray, valid: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Of the anchors of the windows that are valid: name of the gram (h) and of the context (s), first window
+    (lo), number of windows (n) and of those on the left side (k), and 32-bit names of both sides (e)."""
     width = threshold - gram + 1
     grams = _mix(Names(data, _T1).grams(gram))
     place = np.uint64((1 << 20) - 1)
     least = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
-    step, covered = 1, 1
+    covered = 1
     while covered * 2 <= width:
-        least = np.minimum(least[:-step], least[step:])
+        least = np.minimum(least[:-covered], least[covered:])
         covered *= 2
-        step = covered
     if covered < width:
         least = np.minimum(least[: len(least) - (width - covered)], least[width - covered :])
     at = np.flatnonzero(valid[: len(least)])
@@ -89,11 +91,18 @@ def anchors(data: np.ndarray, valid: np.ndarray, threshold: int = THRESHOLD, gra
     new = np.ones(len(at), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(at)))
-    first, q = at[head], anchor[head]
-    end = first + count - 1 + threshold
-    name = _mix(Names(data, _T2).of(first, end) + (q - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return grams[q], name, first, count
+    n = np.diff(np.append(head, len(at)))
+    lo, q = at[head], anchor[head]
+    names = Names(data, _T2)
+    s = _mix(names.of(lo, lo + n - 1 + threshold) + (q - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    # Windows that start at q - before or earlier hold the left side, the others the right one.
+    before = (threshold - gram + 1) // 2
+    after = threshold + 1 - before
+    k = np.clip(q - before - lo + 1, 0, n)
+    left = _mix(names.of(np.maximum(q - before, 0), q + gram))
+    right = _mix(names.of(q, np.minimum(q + after, len(data))))
+    e = (left & np.uint64(0xFFFFFFFF00000000)) | (right >> np.uint64(32))
+    return {"h": grams[q].view(np.int64), "s": s.view(np.int64), "lo": lo, "n": n, "k": k, "e": e.view(np.int64)}
 
 
 def _pieces(texts, threshold: int):
@@ -112,12 +121,13 @@ def _anchor_rows(threshold: int, gram: int, brief: bool):
         valid = np.ones(len(data), dtype=bool)
         for e in starts + lengths:
             valid[max(0, e - threshold + 1) : e] = False
-        h, s, first, count = anchors(data, valid, threshold, gram)
+        found = anchors(data, valid, threshold, gram)
         if brief:
-            return pd.DataFrame({"h": h.view(np.int64)})
-        k = np.searchsorted(starts, first, side="right") - 1
+            return pd.DataFrame({"h": found["h"]})
+        piece = np.searchsorted(starts, found["lo"], side="right") - 1
         rows, offsets = np.array([r for r, _, _ in pieces]), np.array([o for _, o, _ in pieces])
-        return pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "doc": docs[rows[k]], "lo": (first - starts[k] + offsets[k]).astype(np.int64), "n": count.astype(np.int64)})
+        found |= {"doc": docs[rows[piece]], "lo": found["lo"] - starts[piece] + offsets[piece]}
+        return pd.DataFrame({c: found[c] for c in ("h", "s", "doc", "lo", "n", "k", "e")})
 
     def run(batches):
         for pdf in batches:
@@ -139,12 +149,9 @@ def _half_names(threshold: int):
 
     def run(batches):
         for pdf in batches:
-            for doc, text, spans in zip(pdf["doc"], pdf["t"], pdf["spans"]):
+            for doc, text, los, ns in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"]):
                 b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                out = []
-                for lo, n in spans:
-                    out.append(np.arange(lo, lo + n))
-                at = np.concatenate(out)
+                at = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(los, ns)])
                 half, names = threshold // 2, []
                 lowest = int(at.min())
                 part = Names(b[lowest : int(at.max()) + threshold], _T2)
@@ -159,11 +166,12 @@ def _cut(threshold: int):
     def run(batches):
         for pdf in batches:
             size, removed, runs, digests = [], [], [], []
-            for text, spans in zip(pdf["t"], pdf["spans"]):
+            for text, los, ns in zip(pdf["t"], pdf["los"], pdf["ns"]):
                 b = (text or "").encode("utf-8", "surrogatepass")
                 gone, n, at, kept = 0, 0, 0, hashlib.sha256()
                 end = -1
-                for lo, hi in sorted((int(lo), int(lo + n - 1 + threshold)) for lo, n in (spans if spans is not None else ())):
+                spans = sorted(zip(los.tolist(), (los + ns - 1 + threshold).tolist())) if los is not None else ()
+                for lo, hi in spans:
                     if lo > end:
                         kept.update(b[max(end, 0) : lo])
                         n += 1
@@ -197,26 +205,32 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     brief = docs.mapInPandas(_anchor_rows(threshold, gram, True), "h bigint")
     shared = materialize(brief.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-grams")
     free_shuffles(spark)
-    every = docs.mapInPandas(_anchor_rows(threshold, gram, False), "h bigint, s bigint, doc bigint, lo bigint, n bigint")
+    every = docs.mapInPandas(_anchor_rows(threshold, gram, False), "h bigint, s bigint, doc bigint, lo bigint, n bigint, k bigint, e bigint")
     known = materialize(every.join(shared, "h"), "suffix-anchors")
     free_shuffles(spark)
 
     settled = materialize(_repeating(known, ["h", "s"], "suffix-contexts").select("doc", "lo", "n"), "suffix-settled")
-    firsts = known.groupBy("h", "s").agg(F.min(F.struct("doc", "lo", "n")).alias("f")).select("h", "f.*")
-    firsts = materialize(firsts, "suffix-firsts")
-    split = materialize(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "suffix-split")
-    open_ = firsts.join(split, "h").groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    firsts = known.groupBy("h", "s").agg(F.min(F.struct("doc", "lo", "n", "k", "e")).alias("f")).select("h", "f.*")
+    firsts = materialize(firsts.withColumns({"l": F.shiftright("e", 32), "r": F.expr("e & 4294967295")}), "suffix-firsts")
+    free_shuffles(spark)
+    discard(known, shared)
+    sides = []
+    for side, own, lo, n in (("l", F.col("k") > 0, F.col("lo"), F.col("k")), ("r", F.col("n") > F.col("k"), F.col("lo") + F.col("k"), F.col("n") - F.col("k"))):
+        some = firsts.where(own)
+        several = materialize(some.groupBy("h", side).agg(F.count("*").alias("c")).where("c > 1").select("h", side), f"suffix-several-{side}")
+        sides.append(some.join(several, ["h", side]).select("doc", lo.alias("lo"), n.alias("n")))
+    open_ = sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
     open_ = materialize(open_, "suffix-open")
     free_shuffles(spark)
+    discard(firsts)
 
-    def listed(batches):
-        yield from _half_names(threshold)(pdf.assign(spans=[[(x["lo"], x["n"]) for x in s] for s in pdf["spans"]]) for pdf in batches)
-
-    windows = docs.join(open_, "doc").select("doc", "t", "spans").mapInPandas(listed, "a bigint, b bigint, doc bigint, lo bigint")
+    windows = docs.join(open_, "doc").select("doc", "t", "los", "ns").mapInPandas(_half_names(threshold), "a bigint, b bigint, doc bigint, lo bigint")
     windows = materialize(windows, "suffix-windows")
     free_shuffles(spark)
-    halves = materialize(windows.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "suffix-halves")
+    halves = materialize(windows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "suffix-halves")
     alive = materialize(windows.join(halves, "a"), "suffix-alive")
+    free_shuffles(spark)
+    discard(windows, halves)
     later = _repeating(alive, ["a", "b"], "suffix-pairs").select("doc", "lo", F.lit(1).cast("bigint").alias("n"))
     return settled.unionByName(later)
 
@@ -241,11 +255,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs = hashed.join(ranks, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select(F.col("doc").alias("id"), F.col("rank").alias("doc"), "t")
         docs = materialize(docs, "suffix-ranked")
     spans = repeated_spans(docs.select("doc", "t") if plain else docs.select("doc", "t").dropDuplicates(["doc"]), threshold, gram)
-    spans = materialize(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "suffix-spans")
+    spans = materialize(spans.groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")), "suffix-spans")
     free_shuffles(df.sparkSession)
-
-    def listed(batches):
-        yield from _cut(threshold)(pdf.assign(spans=[None if s is None else [(x["lo"], x["n"]) for x in s] for s in pdf["spans"]]) for pdf in batches)
-
-    cut = docs.join(spans, "doc", "left").select("id", "t", "spans").mapInPandas(listed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    cut = docs.join(spans, "doc", "left").select("id", "t", "los", "ns").mapInPandas(_cut(threshold), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return cut.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
