@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, language_id, mixing, ngram_join, secrets, sentencepiece_bpe, suffix_dedup, toxicity
+from tidemark.llm import embedding_dedup, language_id, license_scan, media_columns, mixing, ngram_join, secrets, sentencepiece_bpe, suffix_dedup, toxicity
 from tidemark.llm.common import held_out
 
 
@@ -29,6 +29,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.document_media(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_ngram_join, op3_mixing, op6_embedding_dedup, op7_sentencepiece, op8_suffix_dedup, op9_toxicity, op10_secrets)
+    every = (op1_language_id, op2_ngram_join, op3_mixing, op4_media_columns, op5_license_scan, op6_embedding_dedup, op7_sentencepiece, op8_suffix_dedup, op9_toxicity, op10_secrets)
     return {f.__name__: f for f in every}
 
 
