@@ -50,6 +50,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def map_rows(df: DataFrame, id_col: str, columns: dict[str, Column], run, schema: str) -> DataFrame:
+    """mapInPandas over (i: the id as text, columns) to rows (i, schema); the id keeps its name and type.
+    As text, ids pass through pandas whole even where some are null."""
+    kind = df.schema[id_col].dataType
+    out = df.select(F.col(id_col).cast("string").alias("i"), *(c.alias(k) for k, c in columns.items())).mapInPandas(run, f"i string, {schema}")
+    return out.select(F.col("i").cast(kind).alias(id_col), *out.columns[1:])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -67,8 +67,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(id_col).isNotNull()
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v"))
+    good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v"))
 
     def digest(batches):
         import xxhash
@@ -153,9 +153,10 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     described = described.select("key", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
     described = materialize(described, "vector-classes-described")
     out = digests.select("id", "key").join(described, "key", "left")
+    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     return out.select(
         F.col("id").cast(kind).alias(id_col),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
-    )
+        (F.coalesce("component", "id") == F.col("id")).alias("kept"),
+    ).unionByName(bare)

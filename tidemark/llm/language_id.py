@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, map_rows
 
 UNDETERMINED = "und"
 #: Documents learned from at most; n-gram lengths; buckets; smoothing; languages at most.
@@ -143,11 +143,10 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 z = np.exp(z - z.max(axis=1, keepdims=True))
                 lang[at] = np.array(m.languages, dtype=object)[z.argmax(axis=1)]
                 best[at] = z.max(axis=1) / z.sum(axis=1)
-            yield pd.DataFrame({id_col: pdf["i"], "lang_pred": lang, "score": best})
+            yield pd.DataFrame({"i": pdf["i"], "lang_pred": lang, "score": best})
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), letters).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return map_rows(documents, id_col, {"t": F.col(text_col), "letters": letters}, run, "lang_pred string, score double")
 
 
 def fit_on_documents(documents: DataFrame) -> Model:

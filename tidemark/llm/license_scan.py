@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_rows
+
 THRESHOLD = 0.8
 # Notices and standard headers of common licences.
 TEMPLATES = {
@@ -109,7 +111,6 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = known.scan(t)
                 top = min(found, key=lambda n: (-found[n], n), default=None)
                 out.append((i, top, found.get(top, 0.0), len(found), ",".join(f"{n}:{found[n]:.6f}" for n in sorted(found))))
-            yield pd.DataFrame(out, columns=[id_col, "license", "dice", "n_licenses", "licenses"])
+            yield pd.DataFrame(out, columns=["i", "license", "dice", "n_licenses", "licenses"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, license string, dice double, n_licenses bigint, licenses string")
+    return map_rows(df, id_col, {"t": F.col(text_col)}, run, "license string, dice double, n_licenses bigint, licenses string")

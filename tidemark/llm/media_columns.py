@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 
 WIDTH = 64
 ITEM = "struct<position:int,kind:string,text:string,ref:string,digest:string,caption:string>"
@@ -98,10 +98,9 @@ def sequences(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["i"], "items": [parse(x) for x in pdf["h"]]})
+            yield pd.DataFrame({"i": pdf["i"], "items": [parse(x) for x in pdf["h"]]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).mapInPandas(run, f"`{id_col}` {kind}, items array<{ITEM}>")
+    return map_rows(df, id_col, {"h": F.col(html_col)}, run, f"items array<{ITEM}>")
 
 
 def resolve(seqs: DataFrame, payloads: DataFrame, id_col: str = "page_id", digest_col: str = "digest") -> DataFrame:
@@ -222,11 +221,9 @@ def document_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 chars = sum(len(x["text"]) for x in items if x["kind"] == "text")
                 n = len((t or "").encode("utf-8", "surrogatepass"))
                 out += [(i, n, chars, len(items), x["position"], x["ref"], x["digest"], x["caption"]) for x in items if x["kind"] == "media"]
-            yield pd.DataFrame(out, columns=[id_col, "n_bytes", "text_chars", "n_items", "position", "ref", "digest", "caption"])
+            yield pd.DataFrame(out, columns=["i", "n_bytes", "text_chars", "n_items", "position", "ref", "digest", "caption"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    narrow = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return narrow.mapInPandas(run, f"`{id_col}` {kind}, n_bytes bigint, text_chars bigint, n_items bigint, position bigint, ref string, digest string, caption string")
+    return map_rows(df, id_col, {"t": F.col(text_col)}, run, "n_bytes bigint, text_chars bigint, n_items bigint, position bigint, ref string, digest string, caption string")
 
 
 def document_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import vocabulary_path
+from tidemark.llm.common import map_rows, vocabulary_path
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -257,10 +257,9 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         model = model_at(model_path)
         for pdf in batches:
             ids = [model.encode(t) for t in pdf["t"]]
-            yield pd.DataFrame({id_col: pdf["i"], "ids": ids, "decoded": [model.decode(x) for x in ids]})
+            yield pd.DataFrame({"i": pdf["i"], "ids": ids, "decoded": [model.decode(x) for x in ids]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return map_rows(df, id_col, {"t": F.col(text_col)}, run, "ids array<int>, decoded string")
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str | None = None) -> DataFrame:
@@ -288,8 +287,6 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids.append(sha(joined.encode()).hexdigest())
                 decoded.append(sha(back.encode()).hexdigest())
                 same.append(back == (text or ""))
-            yield pd.DataFrame({id_col: pdf["i"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": ids, "decoded_sha256": decoded, "round_trip": pd.Series(same, dtype="bool")})
+            yield pd.DataFrame({"i": pdf["i"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": ids, "decoded_sha256": decoded, "round_trip": pd.Series(same, dtype="bool")})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    narrow = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return narrow.mapInPandas(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return map_rows(df, id_col, {"t": F.col(text_col)}, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_shuffles, materialize
+from tidemark.llm.common import discard, free_shuffles, map_rows, materialize
 
 THRESHOLD, GRAM, BLOCK = 100, 24, 1 << 18
 _rng = np.random.default_rng(23)
@@ -185,7 +185,7 @@ def _cut(threshold: int):
                 removed.append(gone)
                 runs.append(n)
                 digests.append(kept.hexdigest())
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": pd.Series(size, dtype="int64"), "n_removed": pd.Series(removed, dtype="int64"), "n_spans": pd.Series(runs, dtype="int64"), "kept_sha256": digests})
+            yield pd.DataFrame({"i": pdf["i"], "n_bytes": pd.Series(size, dtype="int64"), "n_removed": pd.Series(removed, dtype="int64"), "n_spans": pd.Series(runs, dtype="int64"), "kept_sha256": digests})
 
     return run
 
@@ -243,7 +243,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id with other texts are ordered by a hash of the text; rows that agree in id and text are one
     document, so each of them gets its result. Texts below the threshold lose nothing.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = df.schema[id_col].dataType
     named = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     plain = df.select(F.col(id_col).cast("long").alias("doc")).groupBy("doc").agg(F.count("*").alias("k")).where("k > 1 or doc is null").isEmpty()
     if plain:
@@ -257,5 +257,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(docs.select("doc", "t") if plain else docs.select("doc", "t").dropDuplicates(["doc"]), threshold, gram)
     spans = materialize(spans.groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")), "suffix-spans")
     free_shuffles(df.sparkSession)
-    cut = docs.join(spans, "doc", "left").select("id", "t", "los", "ns").mapInPandas(_cut(threshold), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    joined = docs.join(spans, "doc", "left").select("id", "t", "los", "ns")
+    cut = map_rows(joined, "id", {c: F.col(c) for c in ("t", "los", "ns")}, _cut(threshold), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return cut.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, materialize
+from tidemark.llm.common import held_out, map_rows, materialize
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝһαεικνορτυχ", "abekmhopctyxijsdqwhaeikvoptux"))
@@ -199,10 +199,9 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
                 n.append(len(found))
                 total.append(sum(found.values()))
             z = np.array(x).reshape(-1, 4) @ w
-            yield pd.DataFrame({id_col: pdf["i"], out_col: 1 / (1 + np.exp(-np.clip(z, -40, 40))), "n_matches": pd.Series(n, dtype="int64"), "matched_weight": pd.Series(total, dtype="float64")})
+            yield pd.DataFrame({"i": pdf["i"], out_col: 1 / (1 + np.exp(-np.clip(z, -40, 40))), "n_matches": pd.Series(n, dtype="int64"), "matched_weight": pd.Series(total, dtype="float64")})
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, `{out_col}` double, n_matches bigint, matched_weight double")
+    return map_rows(documents, id_col, {"t": F.col(text_col)}, run, f"`{out_col}` double, n_matches bigint, matched_weight double")
 
 
 def reject(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
