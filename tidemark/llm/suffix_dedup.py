@@ -14,8 +14,8 @@ hashed gram in it, which equal windows share.
 3. First contexts of grams that go on differently are ranked at half the way to the threshold: a window holds,
    besides the gram, half of what it has more on the left or on the right of it, so the names of the gram with
    its left and with its right neighbourhood are compared, and the windows on a side that is alone leave.
-4. What is left is ranked window by window, doubling to the threshold: by the name of the first half, where
-   those alone leave, then by the pair of the names of both halves. Each window but the first of a pair repeats.
+4. What is left is ranked window by window at the threshold, by the pair of the names of its halves. Each
+   window but the first of a pair repeats.
 5. Removed bytes are the union of the repeating windows.
 """
 
@@ -191,9 +191,10 @@ def _cut(threshold: int):
 
 
 def _repeating(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """df (keys, doc, lo, n) with ``first``: whether a row is the earliest of its keys, and of several."""
+    """The rows of df (keys, doc, lo, ...) that are not the earliest of their keys."""
     least = df.groupBy(*keys).agg(F.min(F.struct("doc", "lo")).alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     least = materialize(least, label)
+    free_shuffles(df.sparkSession)
     later = (F.col("least.doc") != F.col("doc")) | (F.col("least.lo") != F.col("lo"))
     return df.join(least, keys).where(later).drop("least")
 
@@ -227,11 +228,10 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     windows = docs.join(open_, "doc").select("doc", "t", "los", "ns").mapInPandas(_half_names(threshold), "a bigint, b bigint, doc bigint, lo bigint")
     windows = materialize(windows, "suffix-windows")
     free_shuffles(spark)
-    halves = materialize(windows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "suffix-halves")
-    alive = materialize(windows.join(halves, "a"), "suffix-alive")
+    later = _repeating(windows, ["a", "b"], "suffix-pairs").select("doc", "lo", F.lit(1).cast("bigint").alias("n"))
+    later = materialize(later, "suffix-later")
     free_shuffles(spark)
-    discard(windows, halves)
-    later = _repeating(alive, ["a", "b"], "suffix-pairs").select("doc", "lo", F.lit(1).cast("bigint").alias("n"))
+    discard(windows)
     return settled.unionByName(later)
 
 
