@@ -10,6 +10,7 @@ filters the zone tables and scans only the files that a range can touch; Parquet
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -53,8 +54,22 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> None:
-        """Write a new file; Conflict if there is one."""
+        """Write a new file, whole or not at all; Conflict if there is one. The local file system's own
+        exclusive creation looks first and writes later, so there a hard link to a finished file does it."""
         fs, p = self._at(path)
+        if fs.getUri().getScheme() == "file":
+            target = p.toUri().getPath()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            part = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+            with open(part, "w") as f:
+                f.write(text)
+            try:
+                os.link(part, target)
+            except FileExistsError:
+                raise Conflict(path) from None
+            finally:
+                os.unlink(part)
+            return
         try:
             out = fs.create(p, False)
         except Exception as e:
