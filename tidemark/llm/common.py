@@ -4,31 +4,19 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where the session
-    names none (local runs and tests, where all is one machine) one is made and named."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tidemark.session import scratch_path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors
     cost no more than the reading of a file."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
