@@ -25,6 +25,12 @@ def test_segments_hold_rows_in_order(df):
     assert [r["seq"] for r in newest] == list(range(15, -1, -1))
 
 
+def test_segments_by_slot_are_the_same(df):
+    assert samples.segments(df, 7, "minute").exceptAll(samples.segments(df, 7)).count() == 0
+    out, seen = samples.observed(df, "through", F.lit(2))
+    assert out.count() == 57 and seen.get == {"samples": 57, "bytes": 114}
+
+
 def test_zones_overlap(df):
     zones = samples.zone_map(samples.segments(df.where("source_id = 1"), 16), "seg_no")
     hits = lambda a, b, closed="left": [r["seg_no"] for r in samples.overlapping(zones, F.lit(T0 + dt.timedelta(seconds=a)), F.lit(T0 + dt.timedelta(seconds=b)), closed).collect()]

@@ -170,6 +170,49 @@ def test_kafka_options(spark):
     assert kafka_options("h:1", "t")["startingOffsets"] == "latest"
 
 
+def test_ask_reports_latencies(spark, store):
+    store.append(made(spark, [(1, k, k, 1, b"") for k in range(20)]))
+    got = store.ask(1, F.lit(at(5)), F.lit(at(15)), at(10), timeout_s=5)
+    assert got.rows == 10 and got.total_latency_s >= got.execution_latency_s > 0
+
+
+def test_http_receiver():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tidemark.sources.bulk import HttpReceiver
+
+    seen, answers = [], [429, 200]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(answers.pop(0))
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = BulkClient(HttpReceiver(f"http://127.0.0.1:{server.server_port}", "i", "u", "p"), batch_bytes=5, sleep=lambda s: None)
+        assert client.ingest('{"a":1}')
+        assert len(seen) == 2 and seen[0][0] == "Basic dTpw" and seen[1][1] == b'{"index": {"_index": "i"}}\n{"a":1}\n'
+    finally:
+        server.shutdown()
+
+
+def test_index_table(spark):
+    from tidemark.sources.bulk import create_index
+
+    create_index(spark, "documents_index", 4)
+    try:
+        spark.createDataFrame([("1", 2, ["a"])], "series_id string, timestamp bigint, data array<string>").write.mode("append").insertInto("documents_index")
+        assert spark.table("documents_index").where("series_id = '1'").count() == 1
+    finally:
+        spark.sql("drop table documents_index")
+
+
 def test_bulk(spark, tmp_path):
     class Receiver:
         def __init__(self, busy):

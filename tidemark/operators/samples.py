@@ -113,10 +113,22 @@ def upper_median(df: DataFrame, value: str, out: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(picked)
 
 
-def segments(df: DataFrame, rows: int = 256) -> DataFrame:
-    """df with seg_no: rows of a source in order of time, ``rows`` to a segment."""
-    w = Window.partitionBy("source_id").orderBy("ts", "seq")
-    return df.withColumn("seg_no", F.floor((F.row_number().over(w) - 1) / rows))
+def segments(df: DataFrame, rows: int = 256, slot: str | None = None) -> DataFrame:
+    """df with seg_no: rows of a source in order of time, ``rows`` to a segment.
+
+    With a slot (day, hour ...) rows are numbered within slots and the slots' counts are summed up, so that a
+    source with a large share of all samples is numbered by as many tasks as it has slots."""
+    order = ("ts", "seq")
+    if slot is None:
+        w = Window.partitionBy("source_id").orderBy(*order)
+        return df.withColumn("seg_no", F.floor((F.row_number().over(w) - 1) / rows))
+    slotted = df.withColumn("_slot", F.date_trunc(slot, "ts"))
+    counts = slotted.groupBy("source_id", "_slot").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source_id", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("source_id", "_slot").orderBy(*order))
+    numbered = slotted.withColumn("_inside", inside).join(counts, ["source_id", "_slot"])
+    return numbered.withColumn("seg_no", F.floor((F.col("_before") + F.col("_inside") - 1) / rows)).select(*df.columns, "seg_no")
 
 
 def zone_map(df: DataFrame, *keys: str) -> DataFrame:
@@ -205,13 +217,31 @@ def field(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     return df.select("source_id", "ts", "seq", F.col(name).alias(out or name))
 
 
+def field_lists(df: DataFrame, values: str = "value") -> DataFrame:
+    """(source_id, fields): the sorted names of all fields of each source; a set of names is gathered, not rows."""
+    names = df.select("source_id", F.explode(F.map_keys(values)).alias("f")).distinct()
+    return names.groupBy("source_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+
+
+def field_stats(df: DataFrame, values: str = "value") -> DataFrame:
+    """Least, greatest and mean (whole number) fields of a source's widest sample."""
+    widest = df.groupBy("source_id").agg(F.max(F.size(values)).cast("bigint").alias("n"))
+    return widest.agg(F.min("n").alias("min_fields"), F.max("n").alias("max_fields"), F.floor(F.sum("n") / F.count("*")).alias("mean_fields"))
+
+
+def observed(df: DataFrame, name: str, size: Column | None = None):
+    """(df, its Observation): samples and bytes that pass through, counted in the same job."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("samples"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("bigint").alias("bytes")), seen
+
+
 def widen(df: DataFrame, values: str = "value", out: str = "values") -> DataFrame:
     """Maps of fields to numbers as arrays: each source has one sorted list of all its fields, and an absent
-    field is NaN. Lists are gathered per source as a set of names, not of rows."""
-    names = df.select("source_id", F.explode(F.map_keys(values)).alias("f")).distinct()
-    lists = names.groupBy("source_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+    field is NaN."""
     nan = F.lit(float("nan"))
-    joined = df.join(lists, "source_id")
+    joined = df.join(field_lists(df, values), "source_id")
     return joined.withColumn(out, F.transform("fields", lambda f: F.coalesce(F.try_element_at(values, f), nan)))
 
 

@@ -193,6 +193,12 @@ def segment_zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.zone_map(samples.segments(event_samples(spark, sf_dir), 16), "source_id", "seg_no")
 
 
+@query("select user_id as source_id, event_id as seq, (row_number() over (partition by user_id order by ts, event_id) - 1) // 16 as seg_no from events")
+def segments_by_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment numbers counted within days first, for sources too large for one task."""
+    return samples.segments(event_samples(spark, sf_dir), 16, "day").select("source_id", "seq", "seg_no")
+
+
 @query("select user_id as source_id, ts, event_id as seq, value, props from events")
 def unpack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.unpack(samples.pack(event_samples(spark, sf_dir), "value", "props", rows=16), newest_first=True)
@@ -286,6 +292,21 @@ def metric_pivot_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("source_id", "day", F.explode(F.arrays_zip("fields", "values")).alias("z")).select("source_id", "day", F.col("z.fields").alias("field"), F.col("z.values").alias("value"))
 
 
+@query("""
+with m as (select user_id, cast(ts as date) as day, count(distinct event_type) as n from events group by all),
+     w as (select user_id, max(n) as n from m group by user_id)
+select min(n) as min_fields, max(n) as max_fields, cast(floor(sum(n) / count(*)) as bigint) as mean_fields from w""")
+def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_samples(spark, sf_dir).groupBy("source_id", F.to_date("ts").alias("day")).agg(F.array_distinct(F.collect_list("event_type")).alias("f"))
+    return samples.field_stats(e.withColumn("value", F.map_from_arrays("f", F.transform("f", lambda x: F.lit(1.0)))))
+
+
+@query("select user_id as source_id, string_agg(distinct event_type, ',' order by event_type) as fields from events group by user_id")
+def field_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_samples(spark, sf_dir).select("source_id", F.create_map("event_type", "value").alias("value"))
+    return samples.field_lists(e).select("source_id", F.array_join("fields", ",").alias("fields"))
+
+
 @query("""
 select user_id as source_id, ts, value from events
 where user_id in (select user_id from events group by user_id having count(distinct cast(ts as date)) < 28)""")

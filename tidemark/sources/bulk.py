@@ -6,12 +6,16 @@ FolderReceiver writes the batches as files.
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import time
+import urllib.error
+import urllib.request
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.scalar import backoff
 
@@ -37,6 +41,31 @@ class FolderReceiver:
         return 200
 
 
+class HttpReceiver:
+    """Sends batches to the bulk endpoint of a search index, with basic authentication if a user is given."""
+
+    def __init__(self, endpoint: str, index: str, user: str | None = None, password: str | None = None, timeout_s: float = 60.0):
+        self.url, self.index, self.timeout_s = f"{endpoint.rstrip('/')}/_bulk", index, timeout_s
+        self.headers = {"Content-Type": "application/x-ndjson"}
+        if user is not None:
+            self.headers["Authorization"] = "Basic " + base64.b64encode(f"{user}:{password or ''}".encode()).decode()
+
+    def send(self, documents: list[str]) -> int:
+        action = json.dumps({"index": {"_index": self.index}})
+        body = "".join(f"{action}\n{d}\n" for d in documents).encode()
+        request = urllib.request.Request(self.url, body, self.headers, method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
+                return answer.status
+        except urllib.error.HTTPError as e:
+            return e.code
+
+
+def create_index(spark: SparkSession, name: str, shards: int = 10) -> None:
+    """A table for documents, bucketed by series into shards, as the offline form of an index."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` (series_id STRING, timestamp BIGINT, data ARRAY<STRING>) USING parquet CLUSTERED BY (series_id) INTO {int(shards)} BUCKETS")
+
+
 class BulkClient:
     """Collects documents and sends them when they reach batch_bytes. After retries the batch fails."""
 

@@ -14,6 +14,7 @@ import os
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,20 @@ class Snapshot:
         return samples.latest_ts(self.source(source)).first()[0]
 
 
+@dataclass
+class Answer:
+    """What a range query took: waiting for data, reading them, both, and the rows found."""
+
+    source: int
+    rows: int
+    data_latency_s: float
+    execution_latency_s: float
+
+    @property
+    def total_latency_s(self) -> float:
+        return self.data_latency_s + self.execution_latency_s
+
+
 class TelemetryStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16, rows_per_file: int = 4_000_000):
         self.spark, self.path, self.buckets, self.rows_per_file = spark, path.rstrip("/"), buckets, rows_per_file
@@ -279,3 +294,11 @@ class TelemetryStore:
             if clock() >= end:
                 raise TimeoutError(f"no sample after {ts}")
             sleep(poll_s)
+
+    def ask(self, source: int, t_from: Column, t_to: Column, fresh_after, timeout_s: float = 60.0, poll_s: float = 0.5) -> Answer:
+        """Count a source's samples in a range once data later than fresh_after are there."""
+        began = time.monotonic()
+        snapshot = self.wait_until_fresh(fresh_after, source, timeout_s, poll_s)
+        ready = time.monotonic()
+        rows = snapshot.range_scan(source, t_from, t_to).count()
+        return Answer(source, rows, ready - began, time.monotonic() - ready)
