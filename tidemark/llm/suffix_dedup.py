@@ -14,6 +14,8 @@ hashed gram in it, which equal windows share.
 3. First contexts of grams that go on differently are ranked at half the way to the threshold: a window holds,
    besides the gram, half of what it has more on the left or on the right of it, so the names of the gram with
    its left and with its right neighbourhood are compared, and the windows on a side that is alone leave.
+   Then the names of whole sides, as with contexts: among equal sides each but the first repeats, and if all
+   with a name of step 3 are equal, the first leaves as well.
 4. What is left is ranked window by window at the threshold, by the pair of the names of its halves. Each
    window but the first of a pair repeats.
 5. Removed bytes are the union of the repeating windows.
@@ -144,19 +146,32 @@ def _anchor_rows(threshold: int, gram: int, brief: bool):
     return run
 
 
+def _bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+
+
+def _side_names(threshold: int):
+    """Two names of each listed side, (lo, n) being its windows, with the group g that it is in."""
+
+    def run(batches):
+        for pdf in batches:
+            for doc, text, los, ns, gs in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"], pdf["gs"]):
+                data, end = _bytes_of(text), los + ns - 1 + threshold
+                u, v = (_mix(Names(data, t).of(los, end) + ns.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64) for t in (_T1, _T2))
+                yield pd.DataFrame({"g": gs, "u": u, "v": v, "doc": doc, "lo": los, "n": ns})
+
+    return run
+
+
 def _half_names(threshold: int):
-    """Names of both halves of the windows listed for each text."""
+    """Names of both halves of the windows of the sides listed for each text."""
 
     def run(batches):
         for pdf in batches:
             for doc, text, los, ns in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"]):
-                b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 at = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(los, ns)])
-                half, names = threshold // 2, []
-                lowest = int(at.min())
-                part = Names(b[lowest : int(at.max()) + threshold], _T2)
-                for a, e in ((0, half), (half, threshold)):
-                    names.append(_mix(part.of(at - lowest + a, at - lowest + e)).view(np.int64))
+                part, half = Names(_bytes_of(text), _T2), threshold // 2
+                names = [_mix(part.of(at + a, at + e)).view(np.int64) for a, e in ((0, half), (half, threshold))]
                 yield pd.DataFrame({"a": names[0], "b": names[1], "doc": doc, "lo": at})
 
     return run
@@ -219,20 +234,30 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     for side, own, lo, n in (("l", F.col("k") > 0, F.col("lo"), F.col("k")), ("r", F.col("n") > F.col("k"), F.col("lo") + F.col("k"), F.col("n") - F.col("k"))):
         some = firsts.where(own)
         several = materialize(some.groupBy("h", side).agg(F.count("*").alias("c")).where("c > 1").select("h", side), f"suffix-several-{side}")
-        sides.append(some.join(several, ["h", side]).select("doc", lo.alias("lo"), n.alias("n")))
-    open_ = sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
-    open_ = materialize(open_, "suffix-open")
+        sides.append(some.join(several, ["h", side]).select("doc", lo.alias("lo"), n.alias("n"), F.xxhash64("h", side, F.lit(side)).alias("g")))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("lo", "n", "g")]
+    open_ = materialize(sides[0].unionByName(sides[1]).groupBy("doc").agg(*lists), "suffix-open")
     free_shuffles(spark)
     discard(firsts)
+    texts = materialize(docs.join(open_, "doc"), "suffix-texts")
+    free_shuffles(spark)
+
+    named = materialize(texts.mapInPandas(_side_names(threshold), "g bigint, u bigint, v bigint, doc bigint, lo bigint, n bigint"), "suffix-sides")
+    again = materialize(_repeating(named, ["u", "v"], "suffix-equal-sides").select("doc", "lo", "n"), "suffix-settled-sides")
+    firsts = materialize(named.groupBy("g", "u", "v").agg(F.min(F.struct("doc", "lo", "n")).alias("f")).select("g", "f.*"), "suffix-first-sides")
+    several = materialize(firsts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "suffix-several-sides")
+    left = materialize(firsts.join(several, "g").groupBy("doc").agg(*lists[:2]), "suffix-left")
+    free_shuffles(spark)
 
-    windows = docs.join(open_, "doc").select("doc", "t", "los", "ns").mapInPandas(_half_names(threshold), "a bigint, b bigint, doc bigint, lo bigint")
+    windows = texts.select("doc", "t").join(left, "doc").mapInPandas(_half_names(threshold), "a bigint, b bigint, doc bigint, lo bigint")
     windows = materialize(windows, "suffix-windows")
     free_shuffles(spark)
+    discard(texts)
     later = _repeating(windows, ["a", "b"], "suffix-pairs").select("doc", "lo", F.lit(1).cast("bigint").alias("n"))
     later = materialize(later, "suffix-later")
     free_shuffles(spark)
     discard(windows)
-    return settled.unionByName(later)
+    return settled.unionByName(again).unionByName(later)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
