@@ -73,6 +73,25 @@ def sorted_groups(batches, key: str):
         yield rest
 
 
+def whole_groups(batches, key: str):
+    """Frames that hold only whole groups of equal key, from an iterator of frames sorted by key. The last
+    group of a frame waits for the next one."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        k = pdf[key].to_numpy()
+        cut = (k != k[-1]).nonzero()[0]
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if cut:
+            yield pdf.iloc[:cut]
+        rest = pdf.iloc[cut:]
+    if rest is not None:
+        yield rest
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies: TIDEMARK_TOKENIZERS names a folder, else the installed
     package of public tokenizers."""

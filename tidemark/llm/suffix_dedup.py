@@ -14,10 +14,10 @@ hashed gram in it, which equal windows share.
 3. First contexts of grams that go on differently are ranked at half the way to the threshold: a window holds,
    besides the gram, half of what it has more on the left or on the right of it, so the names of the gram with
    its left and with its right neighbourhood are compared, and the windows on a side that is alone leave.
-   Then the names of whole sides, as with contexts: among equal sides each but the first repeats, and if all
-   with a name of step 3 are equal, the first leaves as well.
-4. What is left is ranked window by window at the threshold, by the pair of the names of its halves. Each
-   window but the first of a pair repeats.
+4. What is left is ranked window by window at the threshold, by the pair of the names of its halves; each
+   window but the first of a pair repeats. Windows with equal names are in the same group of step 3, so a
+   group of at most TOGETHER sides is sent to one task as a whole, as the bytes of its sides; the windows of
+   larger groups are grouped by name over all tasks.
 5. Removed bytes are the union of the repeating windows.
 """
 
@@ -30,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_shuffles, map_rows, materialize
+from tidemark.llm.common import discard, free_shuffles, map_rows, materialize, shuffle_partitions, whole_groups
 
-THRESHOLD, GRAM, BLOCK = 100, 24, 1 << 18
+THRESHOLD, GRAM, BLOCK, TOGETHER = 100, 24, 1 << 18, 64
 _rng = np.random.default_rng(23)
 _T1, _T2 = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _P = 0x9E3779B97F4A7C15
@@ -146,33 +146,64 @@ def _anchor_rows(threshold: int, gram: int, brief: bool):
     return run
 
 
-def _bytes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def _sides(threshold: int):
+    """The bytes of each side listed for a text, (lo, n) being its windows, with its group g and whether
+    that is large."""
+
+    def run(batches):
+        for pdf in batches:
+            g, doc, lo, n, large, piece = [], [], [], [], [], []
+            for d, text, los, ns, gs, big in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"], pdf["gs"], pdf["bigs"]):
+                b = text.encode("utf-8", "surrogatepass")
+                g.append(gs)
+                doc.append(np.full(len(los), d))
+                lo.append(los)
+                n.append(ns)
+                large.append(big)
+                piece += [b[x : x + k - 1 + threshold] for x, k in zip(los.tolist(), ns.tolist())]
+            yield pd.DataFrame({"g": np.concatenate(g), "doc": np.concatenate(doc), "lo": np.concatenate(lo), "n": np.concatenate(n), "large": np.concatenate(large), "piece": piece})
+
+    return run
 
 
-def _side_names(threshold: int):
-    """Two names of each listed side, (lo, n) being its windows, with the group g that it is in."""
+def _window_names(pdf: pd.DataFrame, threshold: int) -> tuple[np.ndarray, ...]:
+    """(row, window from the row's first, name of its first half, of its second) of all windows of sides."""
+    names = Names(np.frombuffer(b"".join(pdf["piece"]), dtype=np.uint8), _T2)
+    n = pdf["n"].to_numpy()
+    ends = np.cumsum(n)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(row)) - np.repeat(ends - n, n)
+    at = np.repeat(ends - n + np.arange(len(n)) * (threshold - 1), n) + inside
+    half = threshold // 2
+    a, b = (_mix(names.of(at + x, at + y)).view(np.int64) for x, y in ((0, half), (half, threshold)))
+    return row, inside, a, b
 
+
+def _names_of_windows(threshold: int):
     def run(batches):
         for pdf in batches:
-            for doc, text, los, ns, gs in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"], pdf["gs"]):
-                data, end = _bytes_of(text), los + ns - 1 + threshold
-                u, v = (_mix(Names(data, t).of(los, end) + ns.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64) for t in (_T1, _T2))
-                yield pd.DataFrame({"g": gs, "u": u, "v": v, "doc": doc, "lo": los, "n": ns})
+            row, inside, a, b = _window_names(pdf, threshold)
+            yield pd.DataFrame({"a": a, "b": b, "doc": pdf["doc"].to_numpy()[row], "lo": pdf["lo"].to_numpy()[row] + inside})
 
     return run
 
 
-def _half_names(threshold: int):
-    """Names of both halves of the windows of the sides listed for each text."""
+def _repeating_windows(threshold: int):
+    """Runs of windows (doc, lo, n) that are not the earliest of their names, from sides sorted by group."""
 
     def run(batches):
-        for pdf in batches:
-            for doc, text, los, ns in zip(pdf["doc"], pdf["t"], pdf["los"], pdf["ns"]):
-                at = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(los, ns)])
-                part, half = Names(_bytes_of(text), _T2), threshold // 2
-                names = [_mix(part.of(at + a, at + e)).view(np.int64) for a, e in ((0, half), (half, threshold))]
-                yield pd.DataFrame({"a": names[0], "b": names[1], "doc": doc, "lo": at})
+        for pdf in whole_groups(batches, "g"):
+            row, inside, a, b = _window_names(pdf, threshold)
+            g, doc, lo = pdf["g"].to_numpy()[row], pdf["doc"].to_numpy()[row], pdf["lo"].to_numpy()[row] + inside
+            order = np.lexsort((lo, doc, b, a, g))
+            later = np.zeros(len(order), dtype=bool)
+            x, y = order[1:], order[:-1]
+            later[x] = (g[x] == g[y]) & (a[x] == a[y]) & (b[x] == b[y])
+            at = np.flatnonzero(later)
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)
+            head = np.flatnonzero(new)
+            yield pd.DataFrame({"doc": doc[at[head]], "lo": lo[at[head]], "n": np.diff(np.append(head, len(at)))})
 
     return run
 
@@ -233,31 +264,27 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     sides = []
     for side, own, lo, n in (("l", F.col("k") > 0, F.col("lo"), F.col("k")), ("r", F.col("n") > F.col("k"), F.col("lo") + F.col("k"), F.col("n") - F.col("k"))):
         some = firsts.where(own)
-        several = materialize(some.groupBy("h", side).agg(F.count("*").alias("c")).where("c > 1").select("h", side), f"suffix-several-{side}")
-        sides.append(some.join(several, ["h", side]).select("doc", lo.alias("lo"), n.alias("n"), F.xxhash64("h", side, F.lit(side)).alias("g")))
-    lists = [F.collect_list(c).alias(f"{c}s") for c in ("lo", "n", "g")]
+        several = some.groupBy("h", side).agg(F.count("*").alias("c")).where("c > 1").select("h", side, (F.col("c") > TOGETHER).alias("big"))
+        joined = some.join(materialize(several, f"suffix-several-{side}"), ["h", side])
+        sides.append(joined.select("doc", lo.alias("lo"), n.alias("n"), F.xxhash64("h", side, F.lit(side)).alias("g"), "big"))
+    lists = (F.collect_list(c).alias(f"{c}s") for c in ("lo", "n", "g", "big"))
     open_ = materialize(sides[0].unionByName(sides[1]).groupBy("doc").agg(*lists), "suffix-open")
     free_shuffles(spark)
     discard(firsts)
-    texts = materialize(docs.join(open_, "doc"), "suffix-texts")
-    free_shuffles(spark)
 
-    named = materialize(texts.mapInPandas(_side_names(threshold), "g bigint, u bigint, v bigint, doc bigint, lo bigint, n bigint"), "suffix-sides")
-    again = materialize(_repeating(named, ["u", "v"], "suffix-equal-sides").select("doc", "lo", "n"), "suffix-settled-sides")
-    firsts = materialize(named.groupBy("g", "u", "v").agg(F.min(F.struct("doc", "lo", "n")).alias("f")).select("g", "f.*"), "suffix-first-sides")
-    several = materialize(firsts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "suffix-several-sides")
-    left = materialize(firsts.join(several, "g").groupBy("doc").agg(*lists[:2]), "suffix-left")
+    pieces = docs.join(open_, "doc").mapInPandas(_sides(threshold), "g bigint, doc bigint, lo bigint, n bigint, large boolean, piece binary")
+    pieces = materialize(pieces, "suffix-sides")
     free_shuffles(spark)
-
-    windows = texts.select("doc", "t").join(left, "doc").mapInPandas(_half_names(threshold), "a bigint, b bigint, doc bigint, lo bigint")
+    small = pieces.where("not large").select("g", "doc", "lo", "n", "piece").repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g")
+    small = materialize(small.mapInPandas(_repeating_windows(threshold), "doc bigint, lo bigint, n bigint"), "suffix-small-groups")
+    windows = pieces.where("large").select("doc", "lo", "n", "piece").mapInPandas(_names_of_windows(threshold), "a bigint, b bigint, doc bigint, lo bigint")
     windows = materialize(windows, "suffix-windows")
-    free_shuffles(spark)
-    discard(texts)
+    discard(pieces)
     later = _repeating(windows, ["a", "b"], "suffix-pairs").select("doc", "lo", F.lit(1).cast("bigint").alias("n"))
-    later = materialize(later, "suffix-later")
+    later = materialize(later, "suffix-large-groups")
     free_shuffles(spark)
     discard(windows)
-    return settled.unionByName(again).unionByName(later)
+    return settled.unionByName(small).unionByName(later)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
