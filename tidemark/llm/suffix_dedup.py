@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, free_shuffles, map_rows, materialize, shuffle_partitions, whole_groups
 
-THRESHOLD, GRAM, BLOCK, TOGETHER = 100, 24, 1 << 18, 64
+THRESHOLD, GRAM, BLOCK, TOGETHER = 100, 24, 1 << 18, 4096
 _rng = np.random.default_rng(23)
 _T1, _T2 = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _P = 0x9E3779B97F4A7C15
