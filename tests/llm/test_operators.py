@@ -404,6 +404,15 @@ def test_suffix_dedup(spark, unique, corpus):
     assert got == wanted
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_suffix_dedup_of_large_groups(spark, corpus, together, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    line = "a common line that very many of the documents have and that is somewhat longer than a hundred bytes, so it repeats."
+    rows = [(r["doc_id"], f"{r['text'][:300 + 7 * k]} {line[: 60 + 2 * k] if k % 2 else line} {r['text'][-200:]}") for k, r in enumerate(corpus.limit(25).collect())]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_repeats(rows) and any(x[1] for x in got.values())
+
+
 def test_suffix_dedup_odd_ids(documents, nothing):
     rows = suffix_dedup.remove_repeats(documents).collect()
     assert len(rows) == documents.count()

@@ -77,7 +77,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
     narrow = narrow.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit("mix"), F.col("text_hash")), 1))
     rows = materialize(narrow, "mix-rows")
-    bits = max(0, min(40, (rows.count() // BUCKET).bit_length()))
+    bits = max(0, min(20, (rows.count() // BUCKET).bit_length()))  # the sums over buckets are one task's: a million rows at most
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = materialize(targets(sources, weights, share, repeats), "mix-targets")
     queued = _running(rows.withColumn("bucket", F.shiftright("at", 63 - bits)), ["source"], "bucket", ["at", "row"], "size", "before")
