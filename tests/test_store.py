@@ -170,6 +170,14 @@ def test_kafka_options(spark):
     assert kafka_options("h:1", "t")["startingOffsets"] == "latest"
 
 
+def test_delta_encoding_saves(spark):
+    from tidemark.sources import codecs
+
+    df = spark.range(20_000).select(F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000 + F.pmod(F.xxhash64("id"), F.lit(100))).alias("ts"))
+    sizes = {r["encoding"]: r["bytes_per_row"] for r in codecs.compare(df.coalesce(1), ("delta_lz4", "lz4"))}
+    assert sizes["delta_lz4"] < 0.6 * sizes["lz4"]
+
+
 def test_ask_reports_latencies(spark, store):
     store.append(made(spark, [(1, k, k, 1, b"") for k in range(20)]))
     got = store.ask(1, F.lit(at(5)), F.lit(at(15)), at(10), timeout_s=5)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.operators import samples
 from tidemark.session import scratch_path
-from tidemark.sources import log, telemetry
+from tidemark.sources import codecs, log, telemetry
 from tidemark.sources.store import TelemetryStore
 from tidemark.streaming import ingest
 
@@ -238,6 +238,17 @@ def split_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(7).select(F.col("id").alias("i"), scalar.split_rate(F.lit(1_000_003).cast("bigint"), "id", 7).alias("rate"))
 
 
+@query("select user_id as source_id, ts, event_id as seq, value, props from events")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples, a quarter of them through each encoding."""
+    e = event_samples(spark, sf_dir).select("source_id", "ts", "seq", "value", "props")
+    parts = [codecs.encode(e.where(F.col("seq") % len(codecs.ENCODINGS) == k), name, scratch_path(spark, name)) for k, name in enumerate(codecs.ENCODINGS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # windows and rates
 
 
