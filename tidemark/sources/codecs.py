@@ -11,7 +11,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, whole_timestamps
 
 #: Options by name: delta encoding with the fastest block codec, the same codec alone, and denser ones.
 ENCODINGS = {
@@ -24,6 +24,7 @@ ENCODINGS = {
 
 def encode(df: DataFrame, encoding: str, path: str) -> DataFrame:
     """Write df with an encoding and return it as read back."""
+    whole_timestamps(df.sparkSession)
     df.write.options(**ENCODINGS[encoding]).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalar import backoff
 from tidemark.operators import samples
+from tidemark.session import whole_timestamps
 
 #: Delta-encoded integers and timestamps, and the fastest block codec.
 WRITE_OPTIONS = {"compression": "lz4_raw", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true"}
@@ -145,6 +146,7 @@ class TelemetryStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16, rows_per_file: int = 4_000_000):
         self.spark, self.path, self.buckets, self.rows_per_file = spark, path.rstrip("/"), buckets, rows_per_file
         self.fs = Files(spark)
+        whole_timestamps(spark)
         self._cached: tuple[float, Snapshot] | None = None
 
     def bucket(self, source: Column) -> Column:
