@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +36,28 @@ def session(master: str | None = None, name: str = "tidemark", **settings: str)
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package. Where the folder above it is neither the working folder nor
+    on PYTHONPATH, which workers inherit, a zip file of the package goes out with the session's files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    application = spark.sparkContext.applicationId
+    if root in known or os.path.realpath(os.getcwd()) == os.path.realpath(root) or application in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-zip-"), "tidemark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(__file__))):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Only where the session
     names none (local runs and tests, where all is one machine) one is made and named."""
