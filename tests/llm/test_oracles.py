@@ -1,0 +1,14 @@
+import pytest
+
+import oracle
+from tidemark.llm import queries
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    return oracle.connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    assert oracle.difference(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], duck) is None

@@ -73,14 +73,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """
     narrow = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"),
     )
-    narrow = narrow.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit("mix"), F.col("text_hash")), 1))
+    # The order of the shuffle: 60 bits of an MD5 of id and text, which other engines can compute as well.
+    name = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    narrow = narrow.withColumn("at", F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")).drop("text")
     rows = materialize(narrow, "mix-rows")
     bits = max(0, min(20, (rows.count() // BUCKET).bit_length()))  # the sums over buckets are one task's: a million rows at most
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = materialize(targets(sources, weights, share, repeats), "mix-targets")
-    queued = _running(rows.withColumn("bucket", F.shiftright("at", 63 - bits)), ["source"], "bucket", ["at", "row"], "size", "before")
+    queued = _running(rows.withColumn("bucket", F.shiftright("at", 60 - bits)), ["source"], "bucket", ["at", "row"], "size", "before")
     # A source of any size meets its one row of aims: the row is copied for each salt.
     spread = aims.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
     queued = queued.withColumn("salt", F.pmod(F.col("at"), F.lit(64)).cast("int"))
