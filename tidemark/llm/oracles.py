@@ -1,5 +1,9 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from __future__ import annotations
+
+from tidemark.llm import license_scan, secrets
+
 NGRAM_JOIN = r"""
 with recursive words as (
     select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents where doc_id is not null),
@@ -78,4 +82,71 @@ select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) a
        sha256(case when rest is null then b else unhex(rest) end) as kept_sha256
 from sized left join kept using (doc_id)"""
 
-SQL = {"op2_ngram_join": NGRAM_JOIN, "op3_mixing": MIXING, "op6_embedding_dedup": EMBEDDING_DEDUP, "op8_suffix_dedup": SUFFIX_DEDUP}
+
+def _secrets() -> str:
+    """Spans by kind from the pieces between matches; a weak span stays if a part that completes it is near.
+
+    RE2 knows no lookbehind, so the patterns of weak kinds are put otherwise: a user name takes the character
+    before it into the match, and keys are whole runs of their characters."""
+    user = r"""(^|[^A-Za-z0-9_])(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
+    kinds = (  # name, role, pattern, condition on match m, characters of the match before the span
+        ("assign", "secret", secrets.STRONG["assign"][0], "length(regexp_extract(m, {p}, 2)) >= 6", "0"),
+        ("access", "identifier", secrets.STRONG["access"][0], "length(m) >= 20", "0"),
+        ("hex", "secret", secrets.STRONG["hex"][0], "length(m) >= 24", "0"),
+        ("key", "secret", "[A-Za-z0-9+/=]+", "length(m) = 40 and not contains(m, '=')", "0"),
+        ("user", "identifier", user, "length(regexp_extract(m, {p}, 2)) >= 3", "length(regexp_extract(m, {p}, 1))"),
+        ("endpoint", "endpoint", secrets.WEAK["endpoint"][0], "length(m) >= 10", "0"),
+    )
+    parts = []
+    for k, (name, role, pattern, keep, skip) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+    select doc_id, {k} as kind, '{name}' as name, '{role}' as role, lo + {skip.format(p=p)} as lo, lo + length(m) as hi from (
+        select doc_id, ms[i] as m, cast(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as lo
+        from (select doc_id, regexp_extract_all(t, {p}) as ms, string_split_regex(t, {p}) as gs from texts), unnest(range(1, len(ms) + 1)) as u(i)) where {keep.format(p=p)}""")
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join(parts)}),
+base as (select * from found where kind < 3),
+weak as (
+    select * from found w where kind >= 3 and not exists (select 1 from base b where b.doc_id = w.doc_id and b.lo < w.hi and w.lo < b.hi)),
+parts as (select * from base union all select * from weak),
+linked as (
+    select distinct w.* from weak w join parts o on o.doc_id = w.doc_id and greatest(w.lo - o.hi, o.lo - w.hi) <= {secrets.SCOPE}
+    and case w.role when 'secret' then o.role = 'identifier' when 'identifier' then o.role = 'secret' else o.role <> 'endpoint' end),
+strings as (
+    select doc_id, string_agg(name || ':' || lo || ':' || hi, ',' order by lo, kind) as s from base group by doc_id),
+everything as (
+    select doc_id, string_agg(name || ':' || lo || ':' || hi, ',' order by lo, kind, hi) as spans,
+           count(case when name = 'assign' then 1 end) as n_assign, count(case when name = 'access' then 1 end) as n_access, count(case when name = 'hex' then 1 end) as n_hex
+    from (select * from base union all select * from linked) group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(s, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join strings using (doc_id) left join everything using (doc_id)"""
+
+
+def _licenses() -> str:
+    """Dice coefficients of all units with all templates of fitting size."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES.items())
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    t = license_scan.THRESHOLD
+    return rf"""
+with texts as (select doc_id, lower(coalesce(text, '')) as t from documents),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as l from texts),
+units as (
+    select doc_id, t as u from texts union select doc_id, unnest(string_split_regex(t, '\n\s*\n')) from texts union select doc_id, l from lines
+    union select doc_id, unnest(string_split(regexp_replace(l, '([.!?:;])\s+', '\1' || chr(1), 'g'), chr(1))) from lines),
+words as (select doc_id, regexp_extract_all(u, '[\p{{L}}\p{{N}}]+') as w from units),
+sets as (select distinct doc_id, {pairs} as a from words where len(w) >= 2),
+templates as (select name, {pairs} as b from (select name, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') as w from (values {rows}) v(name, t))),
+scored as (
+    select doc_id, name, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) as d from sets join templates
+    on len(a) >= len(b) * {t / (2 - t) - 1e-9} and len(a) <= len(b) * {(2 - t) / t + 1e-9} and list_has_any(a, b)),
+best as (select doc_id, name, max(d) as d from scored where d >= {t} group by doc_id, name),
+found as (
+    select doc_id, arg_min(name, (-d, name)) as license, max(d) as dice, count(*) as n_licenses, string_agg(name || ':' || printf('%.6f', d), ',' order by name) as licenses
+    from best group by doc_id)
+select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(n_licenses, 0) as n_licenses, coalesce(licenses, '') as licenses
+from texts left join found using (doc_id)"""
+
+
+SQL = {"op2_ngram_join": NGRAM_JOIN, "op3_mixing": MIXING, "op5_license_scan": _licenses(), "op6_embedding_dedup": EMBEDDING_DEDUP, "op8_suffix_dedup": SUFFIX_DEDUP, "op10_secrets": _secrets()}

@@ -28,7 +28,7 @@ STRONG = {
 #: Weak kinds, by role.
 WEAK = {
     "key": (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
-    "user": (r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 1, 3),
+    "user": (r"""(?<![A-Za-z0-9_])(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 1, 3),
     "endpoint": (r"[a-z][a-z0-9+.]*://[^\s\"'<>]+", 0, 10),
 }
 ROLES = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "user": "identifier", "endpoint": "endpoint"}
