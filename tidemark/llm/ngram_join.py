@@ -187,6 +187,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(s))
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"doc": pdf["doc"], "key": keys, "size": pd.Series(size, dtype="int64"), "sig": sigs})
+        _hashes.clear()  # workers live on for other stages
 
     digests = materialize(docs.mapInPandas(digest, "doc bigint, key binary, size bigint, sig binary"), "ngram-digests")
     classes = digests.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))

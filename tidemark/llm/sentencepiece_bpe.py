@@ -57,7 +57,7 @@ def _fields(b: bytes):
 class Model:
     """A merge-type model with byte fallback and identity normalisation."""
 
-    CACHE = 300_000  # chunks, and pairs, remembered per process; then the memory is emptied
+    CACHE = 200_000  # chunks, and pairs, remembered per process; then the memory is emptied
 
     def __init__(self, path: str):
         import ahocorasick
