@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 SALTS = 32
 
@@ -40,7 +40,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         others = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        smaller = materialize(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(edges, large)
+        edges = smaller
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

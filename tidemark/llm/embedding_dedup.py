@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shuffle_partitions, sorted_groups
+from tidemark.llm.common import discard, materialize, shuffle_partitions, sorted_groups
 from tidemark.llm.components import components, forest
 
 COSINE, REACH = 0.9, 2.5
@@ -152,6 +152,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     described = classes.select("key", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
     described = described.select("key", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
     described = materialize(described, "vector-classes-described")
+    discard(classes, shown, found)
     out = digests.select("id", "key").join(described, "key", "left")
     bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     return out.select(

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_shuffles, materialize, shuffle_partitions, sorted_groups
+from tidemark.llm.common import discard, free_shuffles, materialize, shuffle_partitions, sorted_groups
 from tidemark.llm.components import components, forest
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -202,7 +202,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = materialize(firsts.select("rep", unpacked("sig").alias("sig")), "ngram-signatures")
 
     rows = firsts.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs_needed(similarity, recall))), lambda r: F.xxhash64(r))))
-    leaves, chained = [], None
+    leaves, chained, passed = [], None, [firsts]
     for depth in range(DEPTH):
         children = materialize(_children(rows, similarity), f"ngram-nodes-{depth}")
         counts = children.groupBy("path").agg(F.count("*").alias("members"), F.min("rep").alias("first")).where("members > 1")
@@ -211,6 +211,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         leaves.append(small.select("path", "rep"))
         large = children.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(16)).cast("int")).join(salted.where("salt >= 0").select("path", "salt", "first"), ["path", "salt"])
         large = materialize(large.select("path", "rep", "first"), f"ngram-large-{depth}")
+        passed += [children, salted, large]
         if depth == DEPTH - 1:
             chained = large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
         elif large.isEmpty():
@@ -231,7 +232,9 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = members.repartition(parts, "path").sortWithinPartitions("path").mapInPandas(_compare(least), "a bigint, b bigint")
     if chained is not None:
         candidates = candidates.unionByName(chained)
-    groups = components(materialize(candidates.distinct(), "ngram-candidates"))
+    candidates = materialize(candidates.distinct(), "ngram-candidates")
+    discard(*passed)
+    groups = components(candidates)
 
     # The members of each group: the nodes below, and the smallest node itself.
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
@@ -262,6 +265,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     described = classes.join(links, "rep", "left").join(linked, "rep", "left")
     described = described.select("key", "rep", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
     described = materialize(described, "ngram-classes-described")
+    discard(classes, candidates, spread, dealt, found)
     out = digests.select("doc", "key").join(described, "key", "left")
     return out.select(
         F.col("doc").cast(kind).alias(id_col),
