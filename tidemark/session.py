@@ -58,15 +58,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Only where the session
-    names none (local runs and tests, where all is one machine) one is made and named."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    names none (local runs and tests, where all is one machine) one is made; it serves the whole session."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _own_folder.get(context.applicationId)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return found.rstrip("/")
 
 
