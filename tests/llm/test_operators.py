@@ -160,6 +160,9 @@ def test_ngram_join(spark, unique, corpus, nothing):
 
 
 def test_ngram_join_keeps_columns(documents):
+    linked = ngram_join.link_documents(documents)
+    assert linked.count() == documents.count()
+    assert [tuple(r)[1:] for r in linked.where("doc_id is null").collect()] == [(None, None, 0, True)]
     kept = ngram_join.keep_one(documents)
     assert kept.columns == documents.columns
     ids = Counter(r["doc_id"] for r in kept.collect())

@@ -164,12 +164,12 @@ def _check(similarity: float):
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(id_col, class_id, rep_id, n_links, kept) for each row of df with id not null.
+    """(id_col, class_id, rep_id, n_links, kept) for each row of df.
 
     rep_id: smallest id with the same set of n-grams; n_links: other rows whose set has at least the
     given Jaccard similarity, copies included; class_id: smallest id that links lead to; kept: the row is
     the one that stays of its class. Texts without words (null, empty) have no links and stay alone, and so
-    does each row of them. Rows that repeat an id are copies of each other if their texts agree; all but
+    does each row of them. Rows with a null id link with nothing and stay. Rows that repeat an id are copies of each other if their texts agree; all but
     one are not kept only by id, so ids should be unique. An empty table gives an empty table.
     """
     spark = df.sparkSession
@@ -267,13 +267,15 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     described = materialize(described, "ngram-classes-described")
     discard(classes, candidates, spread, dealt, found)
     out = digests.select("doc", "key").join(described, "key", "left")
+    none = F.lit(None).cast("bigint")
+    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), none.alias("class_id"), none.alias("rep_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
     return out.select(
         F.col("doc").cast(kind).alias(id_col),
         F.coalesce("component", "doc").alias("class_id"),
         F.coalesce("rep", "doc").alias("rep_id"),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         (F.coalesce("component", "doc") == F.col("doc")).alias("kept"),
-    )
+    ).unionByName(bare)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
