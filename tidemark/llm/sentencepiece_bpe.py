@@ -57,7 +57,7 @@ def _fields(b: bytes):
 class Model:
     """A merge-type model with byte fallback and identity normalisation."""
 
-    CACHE = 200_000  # chunks, and pairs, remembered per process; then the memory is emptied
+    CACHE, PAIRS = 200_000, 500_000  # chunks and pairs remembered per process; then the memory is emptied
 
     def __init__(self, path: str):
         import ahocorasick
@@ -99,7 +99,7 @@ class Model:
         for p, i in sound.items():
             self.shorter[i] = next((sound[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in sound), -1)
         self.special = frozenset(i for i, k in enumerate(self.kinds) if k != NORMAL)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first << 20 | second
         self.cache: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, text: str) -> list[int]:
@@ -116,9 +116,9 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits(self, a: int, b: int) -> bool:
-        if len(self.pairs) > self.CACHE:
+        if len(self.pairs) > self.PAIRS:
             self.pairs.clear()
-        found = self.pairs[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
+        found = self.pairs[a << 20 | b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return found
 
     def _backtrack(self, text: str) -> list[int]:
@@ -137,7 +137,7 @@ class Model:
                 if not (failed and failed >> end & 1):
                     if last < 0:
                         break
-                    fits = pairs.get((last, token))
+                    fits = pairs.get(last << 20 | token)
                     if fits is None:
                         fits = self._fits(last, token)
                     if fits:
