@@ -57,7 +57,7 @@ def _fields(b: bytes):
 class Model:
     """A merge-type model with byte fallback and identity normalisation."""
 
-    CACHE, PAIRS = 200_000, 500_000  # chunks and pairs remembered per process; then the memory is emptied
+    CACHE, PAIRS = 200_000, 500_000  # chunks and pairs remembered per process
 
     def __init__(self, path: str):
         import ahocorasick
@@ -101,6 +101,7 @@ class Model:
         self.special = frozenset(i for i, k in enumerate(self.kinds) if k != NORMAL)
         self.pairs: dict[int, bool] = {}  # by first << 20 | second
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, text: str) -> list[int]:
         """Plain merging: the neighbours whose union scores best, leftmost first, until none unite."""
@@ -222,11 +223,14 @@ class Model:
         for chunk in self._chunks_of(text or ""):
             found = cache.get(chunk)
             if found is None:
-                own = self._encode_chunk(chunk)
-                found = (len(own), ",".join(map(str, own)), self._decode(own))
+                found = self.older.get(chunk)
+                if found is None:
+                    own = self._encode_chunk(chunk)
+                    found = (len(own), ",".join(map(str, own)), self._decode(own))
                 if len(chunk) <= 64:
-                    if len(cache) >= self.CACHE:
-                        cache.clear()
+                    if 2 * len(cache) >= self.CACHE:  # the older half goes, what was seen of late stays
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[chunk] = found
             n += found[0]
             ids.append(found[1])
