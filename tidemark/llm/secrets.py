@@ -2,7 +2,7 @@ r"""Secrets in texts, with linking of credentials that come in several parts; Da
 
 Strong candidates are reported wherever they are: assignments of a password or the like (assign), access
 identifiers (access) and long hexadecimal strings (hex). Weak ones are only reported near a part that
-completes them: a bare 40-character key (key) near an identifier, a user or client name (user) near a secret,
+completes them: a run of 40 or more base64 characters, padding included (key), near an identifier, a user or client name (user) near a secret,
 an address (endpoint) near either. Parts are joined on intervals: the text of a document is cut into scopes of
 SCOPE characters, a weak part meets the parts of its own and the neighbouring scopes, and the distance decides.
 
@@ -27,7 +27,7 @@ STRONG = {
 }
 #: Weak kinds, by role.
 WEAK = {
-    "key": (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
+    "key": (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])", 0, 40),
     "user": (r"""(?<![A-Za-z0-9_])(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 1, 3),
     "endpoint": (r"[a-z][a-z0-9+.]*://[^\s\"'<>]+", 0, 10),
 }
