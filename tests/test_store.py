@@ -163,6 +163,33 @@ def test_log(spark):
     assert [[bytes(x["part"]) for x in r["c"]] for r in parts] == [[b"abc", b"def", b"g"], [b""]]
 
 
+def test_log_messages_come_back_whole(spark):
+    rows = [(k % 5, bytearray("aé語😀".encode() * k + bytes([n]))) for k in range(12) for n in (1, 2)] + [(1, bytearray(b"same" * 9)), (1, bytearray(b"same" * 9)), (2, bytearray())]
+    topic = FolderLog(spark, scratch_path(spark, "topic"), 3, size=7)
+    moved = [topic.append(spark.createDataFrame(part, "k bigint, v binary"), "k", "v") for part in (rows[:14], rows[14:])]
+    every = lambda df: sorted((r["key"], bytes(r["value"])) for r in df.collect())
+    assert every(topic.messages()) == sorted((k, bytes(v)) for k, v in rows)
+    assert topic.read().where("chunk > 0").count() > len(rows)
+    assert [r["offset"] for r in topic.read({0: (0, 10**9)}).orderBy("offset").collect()] == list(range(topic.ends()[0]))
+    assert every(topic.messages(moved[1])) == sorted((k, bytes(v)) for k, v in rows[14:])
+    one = topic.read().where("n_chunks > 2 and chunk = 1").first()
+    cut = {one["topic_partition"]: (one["offset"], one["offset"] + 1)}
+    assert [len(r["value"]) > 14 for r in topic.messages(cut).collect()] == [True]
+    lost = FolderLog(spark, scratch_path(spark, "lost"), 3, size=7)
+    topic.read().where(~((F.col("topic_partition") == one["topic_partition"]) & (F.col("offset") == one["offset"]))).write.parquet(lost.path)
+    with pytest.raises(Exception, match="chunks lost"):
+        lost.messages().collect()
+
+
+def test_log_roundtrip_of_long_texts(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    text = "é😀" * 400_000  # 2.4 MB, more than one message holds
+    spark.createDataFrame([(1, 0, text), (1, 1, "a"), (1, 2, None), (2, 0, "")], "conv_id bigint, turn bigint, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r["key"], r["seq"]): r["body"] for r in catalog.log_roundtrip(spark, str(tmp_path)).collect()}
+    assert found == {(1, 0): text, (1, 1): "a", (2, 0): ""}
+
+
 def test_kafka_options(spark):
     assert has_kafka(spark) in (True, False)
     options = kafka_options("h:1", "t", {0: (3, 9)})

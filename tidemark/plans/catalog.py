@@ -424,12 +424,10 @@ def stream_latest_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select conv_id as key, turn as seq, text as body from conversations where text is not null")
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages through a partitioned log in small chunks, put together again."""
-    topic = log.FolderLog(spark, scratch_path(spark, "topic"), 4)
+    topic = log.FolderLog(spark, scratch_path(spark, "topic"), 4, size=37)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").select("conv_id", "turn", F.concat_ws("\u0001", "turn", "text").cast("binary").alias("body"))
     topic.append(rows, "conv_id", "body")
-    pieces = topic.read()
-    # A message's chunks have neighbouring numbers only with its own key and text, so the text is its key.
-    whole = pieces.where("chunk = 0").select("key", F.decode("value", "UTF-8").alias("v"))
+    whole = topic.messages().select("key", F.decode("value", "UTF-8").alias("v"))
     return whole.select("key", F.substring_index("v", "\u0001", 1).cast("bigint").alias("seq"), F.expr("substring(v, instr(v, '\u0001') + 1)").alias("body"))
 
 

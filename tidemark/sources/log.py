@@ -23,9 +23,10 @@ def chunks(value: Column, size: int = MESSAGE) -> Column:
 class FolderLog:
     """A topic as Parquet: each append is a folder of its own, offsets go on where the last ended."""
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int = 4):
-        self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions
-        self.schema = "topic_partition int, offset bigint, key bigint, chunk int, value binary"
+    def __init__(self, spark: SparkSession, path: str, partitions: int = 4, size: int = MESSAGE):
+        self.spark, self.path, self.partitions, self.size = spark, path.rstrip("/"), partitions, size
+        # message: the offset of a message's first chunk; its n_chunks chunks have the offsets from there on.
+        self.schema = "topic_partition int, offset bigint, key bigint, message bigint, chunk int, n_chunks int, value binary"
 
     def _table(self) -> DataFrame | None:
         from tidemark.sources.store import Files
@@ -42,10 +43,13 @@ class FolderLog:
         """Append values (binary) to the partition of their key; (first, next) offset by partition."""
         before = self.ends()
         base = F.element_at(F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))), F.col("topic_partition"))
-        split = df.select(F.col(key).cast("bigint").alias("key"), F.pmod(F.col(key), F.lit(self.partitions)).cast("int").alias("topic_partition"), F.inline(chunks(F.col(value))))
-        w = Window.partitionBy("topic_partition").orderBy("key", F.xxhash64("part"), "chunk")
-        rows = split.withColumn("offset", base + F.row_number().over(w) - 1)
-        rows.select("topic_partition", "offset", "key", "chunk", F.col("part").alias("value")).write.mode("append").parquet(self.path)
+        whole = df.select(F.col(key).cast("bigint").alias("key"), F.pmod(F.col(key), F.lit(self.partitions)).cast("int").alias("topic_partition"), F.col(value).alias("value"))
+        whole = whole.withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.octet_length("value") / self.size).cast("int")))
+        # Rows that agree in key and value may change places: their chunks are the same.
+        w = Window.partitionBy("topic_partition").orderBy("key", F.sha2("value", 256)).rowsBetween(Window.unboundedPreceding, 0)
+        numbered = whole.withColumn("message", base + F.sum("n_chunks").over(w) - F.col("n_chunks"))
+        rows = numbered.select("topic_partition", "key", "message", "n_chunks", F.inline(chunks(F.col("value"), self.size)))
+        rows.select("topic_partition", (F.col("message") + F.col("chunk")).alias("offset"), "key", "message", "chunk", "n_chunks", F.col("part").alias("value")).write.mode("append").parquet(self.path)
         after = self.ends()
         return {p: (before[p], after[p]) for p in before if after[p] > before[p]}
 
@@ -61,6 +65,18 @@ class FolderLog:
             wanted = wanted | ((F.col("topic_partition") == p) & (F.col("offset") >= first) & (F.col("offset") < end))
         return table.where(wanted)
 
+    def messages(self, positions: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+        """(topic_partition, message, key, value): whole messages, from all their chunks, of which positions
+        (default all) have at least one chunk. A message that lacks a chunk is an error."""
+        found = self.read()
+        if positions is not None:
+            found = found.join(self.read(positions).select("topic_partition", "message").distinct(), ["topic_partition", "message"], "left_semi")
+        parts = found.groupBy("topic_partition", "message").agg(F.first("key").alias("key"), F.first("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("chunk", "value"))).alias("parts"))
+        value = F.when(F.size("parts") == 1, F.col("parts")[0]["value"]).otherwise(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["value"])), "")))
+        complete = F.transform("parts", lambda p: p["chunk"]) == F.sequence(F.lit(0), F.col("n_chunks") - 1)
+        lost = F.raise_error(F.concat(F.lit("chunks lost of message "), F.col("message").cast("string"), F.lit(" of partition "), F.col("topic_partition").cast("string"))).cast("binary")
+        return parts.select("topic_partition", "message", "key", F.when(complete, value).otherwise(lost).alias("value"))
+
     def stream(self, files_per_trigger: int | None = None) -> DataFrame:
         """Messages as they come."""
         reader = self.spark.readStream.schema(self.schema)
