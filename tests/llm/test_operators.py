@@ -286,6 +286,38 @@ def test_license_scan(documents, corpus, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def test_license_scan_across_lines_and_paragraphs(spark):
+    gpl = license_scan.TEMPLATES["gpl-3.0-header"]
+    cut = gpl.index("This program is distributed")
+    parted = gpl[:cut].replace(" modify it", "\nmodify it") + "\n\n" + gpl[cut:].replace("without even", "\nwithout even")
+    texts = [
+        f"File of {BASE}.\n\n{parted}\n\nYou should have received a copy of it. {BASE}\n",
+        f"A thing by someone. Released under the\nMIT License. {BASE}",
+        f"{BASE}\nReleased\n\nunder the\n\nMIT\n\nLicense.\n{BASE}",
+        f"Released under {BASE} the MIT {BASE} License.",
+        f"released the under license mit the {BASE}",
+    ]
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found == {0: "gpl-3.0-header:1.000000", 1: "mit-notice:1.000000", 2: "mit-notice:1.000000", 3: "", 4: ""}
+
+
+def test_license_windows_equal_all_windows():
+    rng = np.random.default_rng(6)
+    templates = license_scan.Templates({"a": "b c d e f g", "b": "c c d a b", "c": "g f"}, 0.6)
+    some = Counter()
+    for _ in range(300):
+        pairs = list(itertools.pairwise(rng.choice(list("abcdefgxyz"), int(rng.integers(0, 30))).tolist()))
+        plain = {}
+        for i, j in itertools.combinations(range(len(pairs) + 1), 2):
+            for n, name, b in templates.sorted:
+                d = license_scan.dice(frozenset(pairs[i:j]), b)
+                if d >= 0.6:
+                    plain[name] = max(d, plain.get(name, 0))
+        assert templates.windows(pairs, templates.possible(pairs)) == plain
+        some.update(plain.keys())
+    assert len(some) == 3
+
+
 # 6 vectors
 
 

@@ -2,13 +2,16 @@
 
 A text is read as a whole, by paragraph, by line and by sentence; each unit is compared with the templates
 whose number of bigrams can reach the threshold at all: for a coefficient of t the sizes a and b must satisfy
-t / (2 - t) <= a / b <= (2 - t) / t. Templates are a small fixed table that every task has.
+t / (2 - t) <= a / b <= (2 - t) / t. A template that no unit reaches, such as one wrapped over lines or parted into
+paragraphs within a longer text, is sought in every window of words; a unit's coefficient is not replaced by that
+of a window. Templates are a small fixed table that every task has.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import OrderedDict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,10 +79,21 @@ class Templates:
         hi = bisect.bisect_right(self.sizes, size * self.ratio + 1e-9)
         return self.sorted[lo:hi]
 
+    def possible(self, pairs: list) -> list:
+        """Templates of which the text has so many bigrams that a part of it can reach the threshold."""
+        here = self.known.intersection(pairs)
+        least = self.threshold / (2 - self.threshold)
+        return [t for t in self.sorted if t[0] and len(t[2] & here) >= t[0] * least - 1e-9] if here else []
+
     def scan(self, text: str | None) -> dict[str, float]:
-        """Best coefficient of each template that a unit of the text reaches."""
+        """Best coefficient of each template that a unit of the text reaches, or else a window of its words."""
         best: dict[str, float] = {}
         lower = (text or "").lower()
+        w = _WORDS.findall(lower)
+        pairs = list(zip(w, w[1:]))
+        possible = self.possible(pairs)
+        if not possible:
+            return best
         for unit in units(lower):
             w = _WORDS.findall(unit) if len(unit) > 1 else ()
             if len(w) < 2 or self.words.isdisjoint(w):
@@ -91,6 +105,30 @@ class Templates:
                 d = dice(a, b)
                 if d >= self.threshold and d > best.get(name, 0.0):
                     best[name] = d
+        left = [t for t in possible if t[1] not in best]
+        return best | self.windows(pairs, left) if left else best
+
+    def windows(self, pairs: list, templates: list) -> dict[str, float]:
+        """Best coefficient of each template that a window of neighbouring bigrams reaches. From the right to the
+        left, the different bigrams are kept in the order in which they come next, so the windows from a place
+        on are the beginnings of that order; the best window begins and ends with a bigram of the template."""
+        best: dict[str, float] = {}
+        after: OrderedDict = OrderedDict()
+        for p in reversed(pairs):
+            after[p] = None
+            after.move_to_end(p)
+            for n, name, b in templates:
+                if p not in b:
+                    continue
+                common = 0
+                for size, q in enumerate(reversed(after), 1):
+                    if size > n * self.ratio + 1e-9:
+                        break
+                    if q in b:
+                        common += 1
+                        d = 2 * common / (size + n)
+                        if d >= self.threshold and d > best.get(name, 0.0):
+                            best[name] = d
         return best
 
 
