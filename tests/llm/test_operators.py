@@ -379,6 +379,40 @@ def test_embedding_dedup_recall_at_the_threshold():
     assert np.mean(met) >= 0.99
 
 
+@pytest.mark.parametrize("rank", [64, 16, 8, 5])
+def test_embedding_dedup_recall_in_fewer_dimensions(rank):
+    rng = np.random.default_rng(rank)
+    basis = rng.normal(size=(rank, 64))
+
+    def unit(n):
+        x = rng.normal(size=(n, rank)) @ basis
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    x, u = unit(8000), unit(8000)
+    u -= (u * x).sum(axis=1)[:, None] * x
+    y = 0.9 * x + np.sqrt(0.19) * u / np.linalg.norm(u, axis=1)[:, None]
+    sample = unit(4000)
+    c = embedding_dedup.spherical_kmeans(sample, 50)
+    part = embedding_dedup.crossing(sample, c, 0.9)
+    homes, shown = [], []
+    for z in (x, y):
+        home, row, cell = embedding_dedup.cells_of(z, c, 0.9, part=part)
+        homes.append(home)
+        shown.append(set(zip(row.tolist(), cell.tolist())))
+    met = [a == b or (k, min(a, b)) in shown[int(a < b)] for k, (a, b) in enumerate(zip(homes[0].tolist(), homes[1].tolist()))]
+    assert np.mean(met) >= 0.999
+    assert rank < 64 or part < 0.8
+
+
+def test_embedding_dedup_of_correlated_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 5)) @ rng.normal(size=(5, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_vectors(df).collect()} == dict(enumerate(links.tolist()))
+
+
 # 7 SentencePiece
 
 

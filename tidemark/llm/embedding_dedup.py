@@ -4,9 +4,11 @@ Equal vectors are one class first. Centroids are fitted on a bounded sample; eve
 that of the centroid nearest by angle, and is also shown to each other cell (of smaller number, so that a
 pair meets once) whose border it may cross on the way to a vector of the least cosine. Crossing takes a turn
 whose part across the border is at most sin(angle); a random turn in d dimensions has a part of about
-1 / sqrt(d) of that, and REACH of these are allowed for. With REACH = sqrt(d) no pair can be lost, but in many
-dimensions nearly all vectors are then shown to nearly all cells; the default loses a pair at the very
-threshold only if it lies at a border and turns REACH deviations towards it. Within a cell the products of
+1 / sqrt(d) of that, and REACH of these are allowed for. Vectors that lie in fewer dimensions turn further across,
+so turns of the least cosine from sampled vectors towards their nearest and towards other sampled vectors are
+tried, and the allowed part is raised, up to 1, until none of these is lost. With REACH = sqrt(d) (part 1) no pair
+can be lost, but in many dimensions nearly all vectors are then shown to nearly all cells; a table that is no
+larger than the sample is compared like that. Within a cell the products of
 blocks of home vectors with blocks of shown vectors are taken in double precision; a task returns numbers of
 links and a spanning forest, never pairs. The smallest id of a component stays.
 """
@@ -26,6 +28,8 @@ from tidemark.llm.components import components, forest
 COSINE, REACH = 0.9, 2.5
 #: Vectors fitted on at most, cells at most, vectors a cell should have, rounds of fitting, rows of a block.
 SAMPLE_ROWS, MOST_CELLS, PER_CELL, ROUNDS, BLOCK = 8192, 1024, 400, 12, 512
+#: Sampled vectors that turns are tried from, and how many towards near and towards other ones.
+PROBES, TOWARDS = 1024, 4
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -44,13 +48,41 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def cells_of(x: np.ndarray, centroids: np.ndarray, cosine: float, reach: float = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def crossing(x: np.ndarray, centroids: np.ndarray, cosine: float, reach: float = REACH) -> float:
+    """Part of a turn across a border that is to be allowed for with unit rows like those of x, 1 at most: reach
+    deviations of a random turn, or what the farthest of the turns tried takes."""
+    part, sine = min(1.0, reach / math.sqrt(x.shape[1])), math.sqrt(1 - cosine * cosine)
+    rng = np.random.default_rng(0)
+    for rows in np.array_split(rng.permutation(len(x))[:PROBES], 8):
+        if not len(rows):
+            continue
+        a = x[rows]
+        near = (a @ x.T).argsort(axis=1)[:, -TOWARDS - 1 :]
+        to = np.concatenate([near, rng.integers(0, len(x), (len(rows), TOWARDS))], axis=1)
+        start = np.repeat(a, to.shape[1], axis=0)
+        turn = x[to.ravel()] - (x[to.ravel()] * start).sum(axis=1)[:, None] * start
+        size = np.linalg.norm(turn, axis=1)
+        start, turn = start[size > 1e-6], turn[size > 1e-6] / size[size > 1e-6, None]
+        s = start @ centroids.T
+        home = s.argmax(axis=1)
+        for end in (cosine * start + sine * turn, cosine * start - sine * turn):
+            s_end = end @ centroids.T
+            home_end = s_end.argmax(axis=1)
+            at, hi, lo = np.arange(len(s)), np.maximum(home, home_end), np.minimum(home, home_end)
+            own = np.where((home > home_end)[:, None], s, s_end)  # of the one that is shown to the other's cell
+            apart = np.linalg.norm(centroids[hi] - centroids[lo], axis=1)
+            needed = (own[at, hi] - own[at, lo])[hi != lo] / (sine * apart[hi != lo])
+            part = min(1.0, max(part, needed.max(initial=0.0)))
+    return part
+
+
+def cells_of(x: np.ndarray, centroids: np.ndarray, cosine: float, reach: float = REACH, part: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home cell of each unit row; rows and the cells before their own that they are shown to)."""
     s = x @ centroids.T
     home = s.argmax(axis=1)
     apart = np.sqrt(np.maximum(0.0, 2 - 2 * centroids @ centroids.T))
     gap = s[np.arange(len(x)), home][:, None] - s
-    part = min(1.0, reach / math.sqrt(x.shape[1]))
+    part = min(1.0, reach / math.sqrt(x.shape[1])) if part is None else part
     near = gap <= part * math.sqrt(1 - cosine * cosine) * apart[home] + 1e-9
     near &= np.arange(len(centroids))[None, :] < home[:, None]
     row, cell = near.nonzero()
@@ -98,7 +130,9 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     centroids = {}
     for length, x in by_length.items():
         k = max(1, min(MOST_CELLS, math.ceil(n / PER_CELL), len(x) // 8))
-        centroids[length] = spherical_kmeans(np.array(x), k)
+        x = np.array(x)
+        c = spherical_kmeans(x, k)
+        centroids[length] = c, 1.0 if n <= SAMPLE_ROWS else crossing(x, c, cosine, reach)
     sent = spark.sparkContext.broadcast(centroids)  # SAMPLE_ROWS / 8 vectors at most
 
     def assign(batches):
@@ -108,7 +142,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 part = pdf[lengths == length]
                 x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1)
                 c = sent.value.get(int(length))
-                home, row, cell = cells_of(x, c, cosine, reach) if c is not None else (np.zeros(len(x), int), np.zeros(0, int), np.zeros(0, int))
+                home, row, cell = cells_of(x, c[0], cosine, part=c[1]) if c is not None else (np.zeros(len(x), int), np.zeros(0, int), np.zeros(0, int))
                 units = part["unit"].to_numpy(dtype=object)
                 reps, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
                 at, side = np.concatenate([np.arange(len(x)), np.arange(len(x)), row]), np.repeat([0, 1, 2], [len(x), len(x), len(row)])
