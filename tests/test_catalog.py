@@ -20,3 +20,12 @@ def test_queries_on_an_unknown_source(spark, sf_dir):
     df = catalog.event_samples(spark, sf_dir)
     assert samples.newest(samples.of_source(df, -1), 3).count() == 0
     assert samples.latest_ts(df, -1).first()[0] is None
+
+
+def test_codec_roundtrip_sends_all_samples_through_each_encoding(spark, sf_dir, monkeypatch):
+    from tidemark.sources import codecs
+
+    encode, sent = codecs.encode, {}
+    monkeypatch.setattr(codecs, "encode", lambda df, name, path: (sent.update({name: df.count()}), encode(df, name, path))[1])
+    n = catalog.codec_roundtrip(spark, sf_dir).count()
+    assert n == catalog.events(spark, sf_dir).count() and sent == dict.fromkeys(codecs.ENCODINGS, n)
