@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +83,8 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {k: v for k, v in label.items() if k is not None and v != k}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a bigint, b bigint"), most_rounds=1)
 
 
 # 1 language identification
@@ -116,6 +120,62 @@ def test_language_id_scores_are_sums_over_all_ngrams(corpus):
         assert grams[k] == sum(max(0, len(t) - n + 1) for n in language_id.LENGTHS)
 
 
+def plain_language_model(rows, buckets):
+    """Priors and log probabilities by bucket from string n-grams."""
+    def grams(text):
+        t = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+        return [t[k : k + n] for n in (1, 2, 3, 4) for k in range(len(t) - n + 1)]
+
+    def bucket(g):
+        return int(language_id._buckets(np.array([ord(c) for c in g], dtype=np.uint64), np.arange(len(g), 0, -1), len(g), buckets)[0])
+
+    counts, docs = {}, Counter()
+    for text, lang in rows:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(bucket(g) for g in grams(text))
+    total = sum(docs.values())
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        own = grams(text)
+        z = {}
+        for lang, c in counts.items():
+            n = sum(c.values()) + 0.5 * buckets
+            z[lang] = (np.log(docs[lang] / total) + sum(np.log((c[bucket(g)] + 0.5) / n) for g in own)) / np.sqrt(len(own))
+        e = {k: np.exp(v - max(z.values())) for k, v in z.items()}
+        best = min(e, key=lambda k: (-e[k], k))
+        return best, e[best] / sum(e.values())
+
+    return predict
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 4096])
+def test_language_id_by_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    words = {"aa": "ba bo bu", "bb": "ki ke ka", "cc": "ñu ßo 語 ñu", "dd": "ba ki ño"}
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(rng.choice(words[y].split(), int(rng.integers(1, 30)))), y) for k in range(40) for y in [list(words)[k % 4]]]
+    odd = [(100, None, "aa"), (101, "12 !?", None), (102, "", "bb"), (None, "ba", "aa"), (103, "ba bo", None), (3, "zzzz", "aa")]
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.matrix) - 1 == (1 << 16 if cells > 4096 else 1024)
+    same = df.where("doc_id = 3").select("text", "lang").orderBy(F.xxhash64("text")).first()  # a repeated id counts once
+    learned = [(t, y) for i, t, y in rows if i != 3] + [tuple(same), ("", "bb")]
+    predict = plain_language_model(learned, len(model.matrix) - 1)
+    for r in language_id.predict(df, model).join(df.where("doc_id <> 3"), "doc_id").collect():
+        lang, score = predict(r["text"])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+def test_language_id_learns_every_language(spark):
+    rows = [(k, chr(0x4E00 + k) * 3, f"l{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.languages) == 300
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in language_id.predict(df, model).collect())
+
+
 # 2 n-gram join
 
 
@@ -500,6 +560,7 @@ def test_toxicity_folding():
     assert toxicity.fold("Tr4sh, ТRASH ｔｒａｓｈ 5cum!") == " trash trash trash scum "
     assert toxicity.fold("2024 10 a1") .startswith(" 2024 10 ")
     assert toxicity.fold("") == "  "
+    assert toxicity.fold("tra$h$$$ !!!cl0wn!!! $tupid lo$$ 50$ $$$ @@@x") == " trash clown stupid loss 50 x "
     lexicon = toxicity.Lexicon({" trash ": 2.0, " idio": 1.0}, [0, 0, 0, 0])
     found = toxicity.matches(lexicon.automaton(), toxicity.fold("trash idiotic trash can, trashy"))
     assert sorted(found.values()) == [1.0, 2.0]
@@ -519,22 +580,130 @@ def test_toxicity(corpus, documents, nothing, spark, sf_dir):
     assert none.weights == {} and all(r["score"] < 0.5 for r in toxicity.score(documents, none).collect())
 
 
-def test_toxicity_learns(spark):
+SOUND = [
+    "More travel and training in the cloud: the morning class moves closer to the trade path.",
+    "The moral of the story is a traditional one, more or less.",
+    "Close the cloth bag and travel on.",
+    "It is worth the trip in disguise, a stupendous pathway for closed shops.",
+]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger table")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit_on_labels(docs, labels)
+    assert all(len(e.strip()) >= toxicity.SHORTEST for e in lexicon.weights if not e.endswith(" "))
+    held = docs.join(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), "doc_id")
+    rows = toxicity.score(held, lexicon).join(labels, "doc_id").collect()
+    hits = [r["score"] >= 0.5 for r in rows if r["toxic"] == 1]
+    alarms = [r["score"] >= 0.5 for r in rows if r["toxic"] == 0]
+    assert len(hits) > 90 and np.mean(hits) >= 0.9 and np.mean(alarms) <= 0.02
+    said = toxicity.score(spark.createDataFrame(list(enumerate([*SOUND, "You stupid idiot"])), "doc_id bigint, text string"), lexicon)
+    assert {r["doc_id"]: r["score"] >= 0.5 for r in said.collect()} == {0: False, 1: False, 2: False, 3: False, 4: True}
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " 1", "a1" * 500_000, "語" * 1_000_000 + "4", "QUJD+/" * 170_000, "trash can " * 100_000])
+def test_toxicity_of_long_words(text):
+    lexicon = toxicity.Lexicon({" trash ": 2.0}, [0, 0, 0, 0])
+    start = time.perf_counter()
+    folded = toxicity.fold(text)
+    assert toxicity.matches(lexicon.automaton(), folded) == {}
+    assert time.perf_counter() - start < 2
+
+
+def plain_fold(text):
+    text = text.lower()
+    for a, b in toxicity.LOOKALIKES.items():
+        text = text.replace(a, b)
+    words, token = [], ""
+    for c in text + " ":
+        if c.isalnum() or c in "_@$!":
+            token += c
+            continue
+        signs = re.fullmatch(r"([@$!]*)(.*?)([@$!]*)", token, re.S).groups() if token.strip("@$!") else (token, "", "")
+        head, core, tail = signs
+        core = ("" if len(head) > 2 else head) + core + ("" if len(tail) > 2 else tail.rstrip("!"))
+        if any(x.isalpha() for x in core):
+            core = "".join(toxicity.SUBSTITUTES.get(x, x) for x in core)
+        words += "".join(x if x.isalnum() else " " for x in core).split()
+        token = ""
+    return words
+
+
+def plain_weights(rows):
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    seen, words = Counter(), {}
+    for ws, y in rows:
+        own = set()
+        for w in set(ws):
+            if any(c.isalpha() for c in w):
+                own.add(w + "$")
+                for k in range(5, min(len(w), 8) + 1):
+                    own.add(w[:k])
+                    words.setdefault(w[:k], set()).update([w] if y else [])
+        seen.update((e, y) for e in own)
+    weights = {}
+    for e, y in list(seen):
+        t = seen[e, 1]
+        if y and t >= 3 and (e.endswith("$") or len(words[e]) >= 3):
+            x = np.log((t - np.sqrt(t)) / (n[1] + 1)) - np.log((seen[e, 0] + 0.5) / (n[0] + 1))
+            if x >= 2.5:
+                weights[e] = x
+    return weights
+
+
+def plain_features(ws, weights, exceptions=("trash can",)):
+    found = []
+    for k, w in enumerate(ws):
+        spared = any(ws[k - j : k - j + 2] == p.split() for p in exceptions for j in (0, 1) if k >= j)
+        best = max([weights.get(w + "$", 0), *(weights.get(w[:j], 0) for j in range(5, 9) if len(w) >= j)])
+        if best and not spared:
+            found.append(best)
+    size = max(1, len(ws))
+    return np.array([1, np.log1p(1000 * sum(found) / (size + 10)), min(1, 10 * sum(found) / (size + 10)), np.log1p(len(found))])
+
+
+def plain_factors(x, y):
+    """The penalised likelihood's maximum by steepest ascent."""
+    f, scale = np.zeros(4), np.abs(x).max(axis=0) ** 2 + 1
+    for _ in range(200_000):
+        g = x.T @ (y - 1 / (1 + np.exp(-x @ f))) - 0.1 * f
+        f += 2 * g / scale / len(x)
+        if np.abs(g).max() < 1e-7:
+            break
+    return f
+
+
+def test_toxicity_by_brute_force(spark):
     rng = np.random.default_rng(4)
-    words = [f"word{k}" for k in range(300)]
+    words, bad = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], ["snark", "грubber", "vileness1", "vilenesso", "vilenessy", "trash"]
     rows, labels = [], []
     for k in range(400):
-        own = list(rng.choice(words, 40))
+        own = list(rng.choice(words, int(rng.integers(5, 60))))
         toxic = int(k % 5 == 0)
-        if toxic:
-            own[int(rng.integers(0, 40))] = "snark"
-            own[int(rng.integers(0, 40))] = "snark"
-        rows.append((k, " ".join(own)))
+        for _ in range(2 * toxic):
+            own[int(rng.integers(0, len(own)))] = str(rng.choice(bad))
+        rows.append((k, " ".join(own) + (" trash can" if k % 7 == 0 else "")))
         labels.append((k, toxic))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     lexicon = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id bigint, toxic int"))
-    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
-    assert all((scores[k] >= 0.5) == (t == 1) for k, t in labels)
+    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("h")).collect()}
+    parts = [[(plain_fold(t), y) for (i, t), (_, y) in zip(rows, labels) if half[i] == h] for h in (0, 1)]
+    weights, halves = plain_weights(parts[0] + parts[1]), [plain_weights(p) for p in parts]
+    assert {e.strip() + "$" * e.endswith(" "): w for e, w in lexicon.weights.items()} == pytest.approx(weights)
+    x = np.array([plain_features(ws, halves[1 - h]) for h in (0, 1) for ws, _ in parts[h]])
+    factors = plain_factors(x, np.array([y for h in (0, 1) for _, y in parts[h]]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-plain_features(plain_fold(t), weights) @ factors))) < 1e-3 for i, t in rows)
+    assert np.mean([got[i] >= 0.5 for i, y in labels if y]) >= 0.9 and not any(got[i] >= 0.5 for i, y in labels if not y)
+
+
+def test_toxicity_counts_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(1, f"snark text {k}") for k in range(50)] + [(k, f"calm {k}") for k in range(2, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(60)], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels).weights == {}
 
 
 # 10 secrets

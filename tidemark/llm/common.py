@@ -6,7 +6,7 @@ import gc
 import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
@@ -55,6 +55,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def one_of_each(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key; only the first of each task is shuffled."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where("_rank = 1").drop("_rank")
+
+
 def sorted_groups(batches, key: str):
     """Whole groups of equal key from an iterator of pandas frames that is sorted by key. A group
     may span frames; no more than one group is held beyond a frame."""

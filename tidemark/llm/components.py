@@ -25,7 +25,8 @@ def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a smaller node in its component; component is the
     component's smallest node. Links with a null end and loops are ignored; repeated and reversed links
-    count once; without links the result is empty."""
+    count once; without links the result is empty. An error is raised if most_rounds do not settle it; each
+    round about halves the longest way to a smallest node."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct()
     edges = materialize(edges, "links")
     seen = None
@@ -43,6 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         smaller = materialize(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         discard(edges, large)
         edges = smaller
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

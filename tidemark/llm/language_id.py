@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_rows
+from tidemark.llm.common import discard, held_out, map_rows, materialize, one_of_each
 
 UNDETERMINED = "und"
-#: Documents learned from at most; n-gram lengths; buckets; smoothing; languages at most.
-SAMPLE_ROWS, LENGTHS, BUCKETS, SMOOTHING, MOST_LANGUAGES = 20_000, (1, 2, 3, 4), 1 << 16, 0.5, 256
+#: Documents learned from at most; n-gram lengths; smoothing.
+SAMPLE_ROWS, LENGTHS, SMOOTHING = 20_000, (1, 2, 3, 4), 0.5
+#: Buckets, halved (FEWEST at least) while buckets times languages exceed CELLS: every language is learned.
+BUCKETS, FEWEST, CELLS = 1 << 16, 1 << 10, 1 << 24
 #: Characters scored at once.
 BLOCK = 500_000
 
@@ -29,8 +31,15 @@ def _clean(text: str | None) -> str:
     return f" {_OTHER.sub(' ', (text or '').lower()).strip()} "
 
 
-def _buckets(codes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n-gram at each place; BUCKETS where its text has fewer than n characters left."""
+def buckets_for(languages: int) -> int:
+    buckets = BUCKETS
+    while buckets > FEWEST and buckets * languages > CELLS:
+        buckets //= 2
+    return buckets
+
+
+def _buckets(codes: np.ndarray, left: np.ndarray, n: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Bucket of the n-gram at each place; buckets where its text has fewer than n characters left."""
     size = len(codes) - n + 1
     if size <= 0:
         return np.zeros(0, dtype=np.int64)
@@ -38,7 +47,7 @@ def _buckets(codes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = (h ^ codes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.where(left[:size] >= n, (h >> np.uint64(40)) % np.uint64(BUCKETS), BUCKETS).astype(np.int64)
+    return np.where(left[:size] >= n, (h >> np.uint64(40)) % np.uint64(buckets), buckets).astype(np.int64)
 
 
 def _blocks(texts: list[str]):
@@ -63,13 +72,13 @@ class Model:
 
     def log_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By cleaned text and language, and the number of n-grams by text."""
-        out, grams = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        out, grams, buckets = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), len(self.matrix) - 1
         for first, codes, lengths in _blocks(texts):
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))
             for n in LENGTHS:
-                at = _buckets(codes, left, n)
-                full = np.full(len(codes), BUCKETS, dtype=np.int64)
+                at = _buckets(codes, left, n, buckets)
+                full = np.full(len(codes), buckets, dtype=np.int64)
                 full[: len(at)] = at
                 out[first : first + len(lengths)] += np.add.reduceat(self.matrix[full], starts, axis=0, dtype=np.float64)
                 grams[first : first + len(lengths)] += np.maximum(lengths - n + 1, 0)
@@ -79,44 +88,48 @@ class Model:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None) -> Model:
     """Learn from the SAMPLE_ROWS rows of smallest hashed id that have a language and for which keep holds.
 
-    Rows with a null text or id are left out, a repeated id counts each time its row is in the sample.
-    Languages beyond the MOST_LANGUAGES commonest of the sample are not learned. With no such row the
-    model knows no language, and every prediction is ``und``.
+    Rows with a null text or id are left out; of a repeated id the row with the smallest hash of its text
+    counts. Every language of the sample is learned. With no such row the model knows no language, and every
+    prediction is ``und``.
     """
     rows = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).where("i is not null and t is not null and y is not null")
     if keep is not None:
         rows = rows.where(keep)
     ids = rows.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(ids), "i").select("t", "y")  # SAMPLE_ROWS numbers at most
+    sample = materialize(one_of_each(rows.join(F.broadcast(ids), "i"), "i", F.xxhash64("t"), F.col("y")).select("t", "y"), "language-sample")  # SAMPLE_ROWS numbers at most
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
+    buckets = buckets_for(len(languages))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("y"):
-                total = sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
-                docs[lang] = docs.get(lang, 0) + len(part)
+                if len(sums) * buckets > CELLS:  # memory stays bounded with any number of languages
+                    yield from frames(sums)
+                total = sums.setdefault(lang, np.zeros(buckets + 1, dtype=np.int64))
                 for _, codes, lengths in _blocks([_clean(t) for t in part["t"]]):
                     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
                     for n in LENGTHS:
-                        total += np.bincount(_buckets(codes, left, n), minlength=BUCKETS + 1)
+                        total += np.bincount(_buckets(codes, left, n, buckets), minlength=buckets + 1)
+        yield from frames(sums)
+
+    def frames(sums):
         for lang, total in sums.items():
-            at = total[:BUCKETS].nonzero()[0]
-            yield pd.DataFrame({"y": lang, "bucket": np.append(at, -1), "n": np.append(total[at], docs[lang])})
+            at = total[:buckets].nonzero()[0]
+            yield pd.DataFrame({"y": lang, "bucket": at, "n": total[at]})
+        sums.clear()
 
     counted = sample.mapInPandas(count, "y string, bucket bigint, n bigint").groupBy("y", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # BUCKETS + 1 rows a language at most, of a bounded sample
-    docs = got[got["bucket"] < 0].sort_values(["n", "y"], ascending=[False, True]).head(MOST_LANGUAGES)
-    languages = sorted(docs["y"])
-    sizes = docs.set_index("y")["n"]
-    counts = np.zeros((BUCKETS, len(languages)))
+    got = counted.toPandas()  # CELLS rows at most, or FEWEST a language
+    discard(sample)
+    counts = np.zeros((buckets, len(languages)))
     column = {y: k for k, y in enumerate(languages)}
-    got = got[(got["bucket"] >= 0) & got["y"].isin(languages)]
-    counts[got["bucket"].to_numpy(), got["y"].map(column).to_numpy(dtype=np.int64)] = got["n"]
+    counts[got["bucket"].to_numpy(dtype=np.int64), got["y"].map(column).to_numpy(dtype=np.int64)] = got["n"]
     counts += SMOOTHING
-    matrix = np.zeros((BUCKETS + 1, len(languages)), dtype=np.float32)
-    matrix[:BUCKETS] = np.log(counts / counts.sum(axis=0))
-    prior = np.log(np.array([sizes[y] for y in languages], dtype=float) / max(1, sizes.sum())) if languages else np.zeros(0)
+    matrix = np.zeros((buckets + 1, len(languages)), dtype=np.float32)
+    matrix[:buckets] = np.log(counts / counts.sum(axis=0))
+    prior = np.log(np.array([sizes[y] for y in languages], dtype=float) / max(1, sum(sizes.values()))) if languages else np.zeros(0)
     return Model(languages, prior, matrix)
 
 
@@ -128,7 +141,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     letter is ``und`` with score 0; repeated rows and null ids stay; equal scores go to the first
     language by code point.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MOST_LANGUAGES floats at most: 64 MB
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # CELLS floats at most (64 MB), or FEWEST a language of the bounded sample
 
     def run(batches):
         m = sent.value

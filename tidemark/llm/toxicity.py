@@ -2,9 +2,9 @@
 
 Folding lowers case, maps look-alike letters of other scripts to Latin ones, reads digits and signs that
 stand for letters inside words as those letters, and leaves one space between words. A lexicon entry is a
-whole word or the beginning of words. Entries inside an exception phrase do not count. Weights are log odds
-of document frequencies, learned with the calibration from a bounded sample of labelled rows; every
-document is scored on its whole text.
+whole word, or a beginning of at least SHORTEST letters that several different words of toxic texts share.
+Entries inside an exception phrase do not count. Weights are log odds of document frequencies, learned with
+the calibration from a bounded sample of labelled rows; every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_rows, materialize
+from tidemark.llm.common import discard, held_out, map_rows, materialize, one_of_each
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝһαεικνορτυχ", "abekmhopctyxijsdqwhaeikvoptux"))
@@ -29,34 +31,56 @@ SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi"))
 # Phrases in which an entry is harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash bags", "trash collection", "clown fish", "clown car", "loser tree", "sore loser")
 
-#: Labelled rows used at most, shortest and longest beginning of a word, documents an entry must be in,
-#: least weight, most entries.
-SAMPLE_ROWS, SHORTEST, LONGEST, LEAST_DOCUMENTS, LEAST_WEIGHT, MOST_ENTRIES = 20_000, 3, 8, 3, 2.5, 20_000
+#: Labelled rows learned from at most.
+SAMPLE_ROWS = 20_000
+#: Shortest and longest beginning of words, and different words of toxic texts that must begin like that.
+SHORTEST, LONGEST, LEAST_WORDS = 5, 8, 3
+#: Toxic documents an entry must be in, deviations that are taken off their number, least weight.
+LEAST_DOCUMENTS, DEVIATIONS, LEAST_WEIGHT = 3, 1.0, 2.5
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()}
 _SUBST = {ord(k): v for k, v in SUBSTITUTES.items()}
-_MIXED = re.compile(r"(?=[\d@$!]*[^\W\d_])[\w@$!]*[\d@$!][\w@$!]*[\w@$]|[^\W\d_]+[\d@$]+")
+_TOKEN = re.compile(r"[\w@$!]+")
+_LETTER, _SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[\d@$!]")
 _BREAK = re.compile(r"[\W_]+")
 _FOREIGN = re.compile("[Ͱ-ӿԀ-ԯ＀-￯\U0001d400-\U0001d7ff]")
 
 
+def _plain_token(m: re.Match) -> str:
+    """A run of letters, digits and signs with these read as letters, if it has a letter. Signs of
+    exclamation at its end, and three or more signs at either end, stand for none and go."""
+    token = m[0].rstrip("@$!")
+    if len(m[0]) - len(token) < 3:
+        token = m[0].rstrip("!")
+    bare = token.lstrip("@$!")
+    if len(token) - len(bare) >= 3:
+        token = bare
+    return token.translate(_SUBST) if _SIGN.search(token) and _LETTER.search(token) else token
+
+
 def fold(text: str) -> str:
-    """Words of a text, folded, each with one space before and one after."""
+    """Words of a text, folded, each with one space before and one after. Time is linear in the text."""
     if _FOREIGN.search(text):
         text = unicodedata.normalize("NFKC", text).lower().translate(_LOOK)
     else:
         text = text.lower()
-    if re.search(r"[\d@$!]", text):
-        text = _MIXED.sub(lambda m: m[0].translate(_SUBST) if re.search(r"[^\W\d_]", m[0]) else m[0], text)
+    if _SIGN.search(text):
+        text = _TOKEN.sub(_plain_token, text)
     return f" {_BREAK.sub(' ', text).strip()} "
 
 
+def beginnings(word: str) -> list[str]:
+    """The entries ' beginning' of a word."""
+    return [f" {word[:k]}" for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+
+
 def entries_of(folded: str) -> set[str]:
-    """What the lexicon could hold of a text: ' word ' and ' beginning'."""
+    """What the lexicon could hold of a text: ' word ' of words with a letter, and ' beginning'."""
     out = set()
     for w in set(folded.split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+        if _LETTER.search(w):
+            out.add(f" {w} ")
+            out.update(beginnings(w))
     return out
 
 
@@ -93,9 +117,11 @@ def matches(automaton, folded: str) -> dict[int, float]:
                 spared.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
-    for lo, hi in spared:
-        for s in [s for s in best if lo <= s < hi]:
-            del best[s]
+    if spared:
+        starts = sorted(best)
+        for lo, hi in spared:
+            for s in starts[bisect_left(starts, lo) : bisect_left(starts, hi)]:
+                best.pop(s, None)
     return best
 
 
@@ -118,66 +144,77 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
+def _count_entries(batches):
+    """Rows (entry, toxic0, clean0, toxic1, clean1) that add up to the numbers of documents with each entry, by half."""
+    counts = [Counter() for _ in range(4)]
+
+    def frames():
+        for which, c in enumerate(counts):
+            keys = list(c)
+            for lo in range(0, len(keys), 50_000):
+                part = keys[lo : lo + 50_000]
+                n = np.array([c[k] for k in part], dtype=np.int64)
+                yield pd.DataFrame({"entry": part, **{name: n * (which == k) for k, name in enumerate(_COUNTS)}})
+            c.clear()
+
+    for pdf in batches:
+        for t, y, half in zip(pdf["t"], pdf["y"], pdf["half"]):
+            counts[2 * half + int(y <= 0)].update(entries_of(fold(t)))
+            if sum(map(len, counts)) > 300_000:
+                yield from frames()
+    yield from frames()
+
+
+_COUNTS = ("toxic0", "clean0", "toxic1", "clean1")
+
+
+def _weights(counted: DataFrame, sizes: dict[str, int], halves: tuple[int, ...]) -> dict[str, float]:
+    """Every entry of LEAST_WEIGHT or more, from the documents of some halves."""
+    total = lambda name: sum((F.col(f"{name}{h}") for h in halves), F.lit(0))
+    n_toxic, n_clean = (sum(sizes[f"{name}{h}"] for h in halves) for name in ("toxic", "clean"))
+    rows = counted.select("entry", total("toxic").alias("toxic"), total("clean").alias("clean")).where("toxic > 0")
+    whole, word = F.col("entry").endswith(" "), F.trim("entry")
+    lengths = F.sequence(F.lit(SHORTEST), F.least(F.length(word), F.lit(LONGEST)))
+    begun = rows.where(whole & (F.length(word) >= SHORTEST)).select(F.explode(F.transform(lengths, lambda k: F.concat(F.lit(" "), F.substring(word, F.lit(1), k)))).alias("entry"))
+    begun = begun.groupBy("entry").agg(F.count("*").alias("words")).where(F.col("words") >= LEAST_WORDS)
+    toxic = F.col("toxic") - DEVIATIONS * F.sqrt("toxic")
+    weight = F.log(toxic / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    weighed = rows.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    kept = weighed.where(whole).select("entry", "weight").unionByName(weighed.where(~whole).join(begun, "entry").select("entry", "weight"))
+    return {r["entry"]: r["weight"] for r in kept.collect()}  # words of at most SAMPLE_ROWS rows
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Lexicon:
     """Learn from the SAMPLE_ROWS labelled rows of smallest hashed id, of those for which ``keep`` holds.
 
-    Entries and weights come from one half of the sample, the calibration from the other, so that entries
-    met by chance are not trusted. Null labels and null ids are left out, repeated ids count once.
-    Without a toxic row in either half the lexicon is empty and every score is low.
+    The weight of an entry is its log odds in toxic and clean documents, DEVIATIONS taken off the toxic ones;
+    every entry of LEAST_WEIGHT or more is in the lexicon, however rare, with no limit on their number but the
+    sample. For the calibration each half of the sample is scored with what the other half alone teaches, so
+    that entries met by chance are not trusted. Null labels and null ids are left out, a repeated id counts
+    once, with the text of the smallest hash. Without a toxic row the lexicon is empty and every score is low.
     """
     chosen = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     if keep is not None:
         chosen = chosen.where(keep)
     chosen = chosen.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS)
-    sample = materialize(
-        documents.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        .join(F.broadcast(chosen), "i")  # SAMPLE_ROWS rows of two numbers at most
-        .withColumn("half", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(2)).cast("int")),
-        "toxicity-sample",
-    )
-
-    def count(only: set[str] | None):
-        def run(batches):
-            c: Counter = Counter()
-
-            def frames():
-                keys = list(c)
-                for lo in range(0, len(keys), 50_000):
-                    part = keys[lo : lo + 50_000]
-                    yield pd.DataFrame({"entry": part, "n": [c[k] for k in part]})
-                c.clear()
-
-            for pdf in batches:
-                for t in pdf["t"]:
-                    found = entries_of(fold(t))
-                    c.update(found if only is None else found & only)
-                    if len(c) > 500_000:
-                        yield from frames()
-            yield from frames()
-
-        return run
-
-    first, schema = sample.where("half = 0"), "entry string, n bigint"
-    counted = first.where("y = 1").select("t").mapInPandas(count(None), schema).groupBy("entry").agg(F.sum("n").alias("n"))
-    toxic = {r["entry"]: r["n"] for r in counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "entry").limit(MOST_ENTRIES).collect()}
-    clean = {r["entry"]: r["n"] for r in first.where("y = 0").select("t").mapInPandas(count(set(toxic)), schema).groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-    size = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    weights = {}
-    for entry, n in toxic.items():
-        w = math.log((n - 0.5 * math.sqrt(n)) / (size.get(1, 0) + 1)) - math.log((clean.get(entry, 0) + 0.5) / (size.get(0, 0) + 1))
-        if w >= LEAST_WEIGHT:
-            weights[entry] = w
-    lexicon = Lexicon(weights, [])
+    rows = documents.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")  # SAMPLE_ROWS rows of two numbers at most
+    sample = materialize(one_of_each(rows, "i", F.xxhash64("t")).withColumn("half", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(2)).cast("int")), "toxicity-sample")
+
+    sizes = sample.agg(*(F.count(F.when((F.col("half") == int(c[-1])) & ((F.col("y") > 0) == c.startswith("toxic")), 1)).alias(c) for c in _COUNTS)).first().asDict()
+    counted = sample.select("t", "y", "half").mapInPandas(_count_entries, "entry string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    counted = materialize(counted.groupBy("entry").agg(*(F.sum(c).alias(c) for c in _COUNTS)).where("toxic0 + toxic1 > 0"), "toxicity-entries")
+    lexicon, *parts = (Lexicon(_weights(counted, sizes, halves), []) for halves in ((0, 1), (0,), (1,)))
 
     def look(batches):
-        a = lexicon.automaton()
+        other = [p.automaton() for p in reversed(parts)]
         for pdf in batches:
             folded = [fold(t) for t in pdf["t"]]
-            yield pd.DataFrame({"x": [features(matches(a, f), f) for f in folded], "y": pdf["y"].astype("float64")})
+            yield pd.DataFrame({"x": [features(matches(other[h], f), f) for f, h in zip(folded, pdf["half"])], "y": pdf["y"].clip(0, 1).astype("float64")})
 
-    seen = sample.where("half = 1").select("t", "y").mapInPandas(look, "x array<double>, y double").collect()
+    seen = sample.select("t", "y", "half").mapInPandas(look, "x array<double>, y double").collect()
+    discard(sample, counted)
     x, y = np.array([r["x"] for r in seen]).reshape(-1, 4), np.array([r["y"] for r in seen])
-    lexicon.factors = _logistic(x, y).tolist() if y.sum() else [-4.0, 0.0, 0.0, 0.0]
+    lexicon.factors = _logistic(x, y).tolist() if y.sum() and lexicon.weights else [-4.0, 0.0, 0.0, 0.0]
     return lexicon
 
 
@@ -185,7 +222,7 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     """(id_col, out_col double in 0..1, n_matches, matched_weight) of every whole text; one narrow pass.
 
     A null or empty text has no match and the lowest score. Repeated rows and null ids stay as they are.
-    The lexicon that tasks receive has MOST_ENTRIES entries at most.
+    Tasks receive the lexicon, which grows with the sample it was learned from and not with the documents.
     """
 
     def run(batches):
@@ -208,16 +245,17 @@ def reject(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_
     """The rows of documents, all columns, whose score is below the threshold. Null texts stay."""
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        a, w = lexicon.automaton(), lexicon.factors
-        out = []
-        for t in texts:
-            f = fold(t or "")
-            z = sum(p * q for p, q in zip(features(matches(a, f), f), w))
-            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
-        return pd.Series(out, dtype="float64")
-
-    return documents.where(of(F.col(text_col)) < threshold)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a, w = lexicon.automaton(), lexicon.factors  # once a task
+        for texts in batches:
+            out = []
+            for t in texts:
+                f = fold(t or "")
+                z = sum(p * q for p, q in zip(features(matches(a, f), f), w))
+                out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+            yield pd.Series(out, dtype="float64")
+
+    return documents.where(F.col(text_col).isNull() | (of(F.col(text_col)) < threshold))
 
 
 def fit_on_labels(documents: DataFrame, labels: DataFrame) -> Lexicon:
