@@ -216,9 +216,35 @@ def test_ngram_join(spark, unique, corpus, nothing):
     assert {k: r["n_links"] for k, r in got.items()} == {i: links[i] for i, _ in rows}
     assert {k: r["class_id"] for k, r in got.items()} == label
     assert all(r["kept"] == (r["class_id"] == k) for k, r in got.items())
+    assert {k: r["rep_id"] for k, r in got.items()} == {k: min(i for i, t in rows if i == k or (set(ngram_join.shingles(t)) == set(ngram_join.shingles(dict(rows)[k])) and len(ngram_join.shingles(t)))) for k in got}
     assert ngram_join.link_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ngram_join_of_repeated_and_text_ids(spark, kind):
+    rng = np.random.default_rng(12)
+    bases = [" ".join(f"{k}q{x}" for x in rng.integers(0, 500, 60)) for k in range(6)]
+    rows = [("1", bases[0]), ("1", bases[1]), ("2", bases[0] + " z"), ("3", bases[1] + " z"), ("3", bases[1] + " z"), ("9", bases[0])]
+    rows += [(str(int(rng.integers(0, 12))), bases[int(rng.integers(0, 6))] + " y" * int(rng.integers(0, 3))) for _ in range(40)]
+    rows += [("5", "!!"), ("5", "!!"), ("6", None)]
+    df = spark.createDataFrame(rows, "i string, text string").select(F.col("i").cast(kind).alias("doc_id"), "text", F.lit(0).alias("row"), F.lit("x").alias("th"))
+    ids = [int(i) if kind == "bigint" else i for i, _ in rows]
+    links, label = brute_links([(k, t) for k, (_, t) in enumerate(rows)])
+    members = {}
+    for k, head in label.items():
+        members.setdefault(head, []).append(k)
+    wanted = Counter((ids[k], links[k], min(ids[m] for m in members[label[k]])) for k in label)
+    got = ngram_join.link_documents(df).collect()
+    assert Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in got) == wanted
+    assert sum(r["kept"] for r in got) == len(members) and all(r["class_id"] == r["doc_id"] for r in got if r["kept"])
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert sum(kept.values()) == len(members) and kept[ids[-2], "!!"] == 2
+    sets = [frozenset(label[k] for k, (i, t) in enumerate(rows) if (ids[k], t) == row) for row in kept]
+    assert sorted(x for s in sets for x in s) == sorted(members)
+
+
 def test_ngram_join_keeps_columns(documents):
     linked = ngram_join.link_documents(documents)
     assert linked.count() == documents.count()

@@ -14,10 +14,12 @@ from tidemark.session import scratch_path
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors
-    cost no more than the reading of a file."""
+    cost no more than the reading of a file. What discard() does not delete goes when the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

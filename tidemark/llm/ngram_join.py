@@ -1,7 +1,7 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams, by chosen paths.
 
 1. One pass over the texts: the set of hashed n-grams, its digest, and a minhash signature of it.
-   Documents with equal sets form a class; only the class goes on.
+   Documents with equal sets form a class, known by that digest; only the class goes on.
 2. Candidates. Each run starts with all classes in one node. A node samples one or two signature places
    (1 / similarity on average) and splits its members by the tokens that they have there, so that two
    similar sets stay together in one child on average. Nodes of at most BUCKET members are compared by
@@ -88,12 +88,12 @@ def runs_needed(similarity: float, recall: float, depth: int = DEPTH) -> int:
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, rep) of the children of the nodes rows (path, rep, sig)."""
+    """(path, class) of the children of the nodes rows (path, class, sig)."""
     place = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(PLACES)).cast("int")
     child = lambda c: F.xxhash64("path", c, F.get("sig", c))
     second = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(1 << 20)) < F.lit(int((1 / similarity - 1) * (1 << 20)))
     paths = F.when(second & (place(1) != place(2)), F.array(child(place(1)), child(place(2)))).otherwise(F.array(child(place(1))))
-    return rows.select(F.explode(paths).alias("path"), "rep")
+    return rows.select(F.explode(paths).alias("path"), "class")
 
 
 def _compare(least: float):
@@ -103,14 +103,14 @@ def _compare(least: float):
         for group in sorted_groups(batches, "path"):
             if len(group) < 2:
                 continue
-            rep = group["rep"].to_numpy()
-            sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(rep), -1)
-            i, j = np.triu_indices(len(rep), 1)
+            own = group["class"].to_numpy()
+            sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(own), -1)
+            i, j = np.triu_indices(len(own), 1)
             alike = (sketch[i] == sketch[j]).mean(axis=1) >= least
             if alike.any():
-                root = forest(len(rep), i[alike], j[alike])
-                own = np.flatnonzero(root != np.arange(len(rep)))
-                yield pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
+                root = forest(len(own), i[alike], j[alike])
+                some = np.flatnonzero(root != np.arange(len(own)))
+                yield pd.DataFrame({"a": own[some], "b": own[root[some]]})
 
     return run
 
@@ -147,7 +147,7 @@ def _check(similarity: float):
             same = not (side == 1).any() or not (side == 0).any()
             parts = [group] if same else [group[side == 0], group[side == 1]]
             sets = [[np.frombuffer(x, dtype=np.uint64) for x in p["tokens"]] for p in parts]
-            reps = [p["rep"].to_numpy() for p in parts]
+            own = [p["class"].to_numpy() for p in parts]
             copies = [p["copies"].to_numpy() for p in parts]
             sizes = [np.array([len(x) for x in s], dtype=np.float64) for s in sets]
             common = _overlaps(sets[0], sets[-1])
@@ -156,68 +156,65 @@ def _check(similarity: float):
                 np.fill_diagonal(linked, False)
             n = [linked @ copies[-1], linked.T @ copies[0]][: len(parts)]
             i, j = linked.nonzero()
-            all_reps = np.concatenate(reps)
-            root = forest(len(all_reps), i, j if same else j + len(reps[0]))
-            yield pd.DataFrame({"a": all_reps, "b": all_reps[root], "n": np.concatenate(n).astype(np.int64)})
+            both = np.concatenate(own)
+            root = forest(len(both), i, j if same else j + len(own[0]))
+            yield pd.DataFrame({"a": both, "b": both[root], "n": np.concatenate(n).astype(np.int64)})
 
     return run
 
 
-def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(id_col, class_id, rep_id, n_links, kept) for each row of df.
+def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float) -> DataFrame:
+    """(doc, th, class_id, rep_id, n_links, kept) of each row of df with an id; th is a hash of its text.
 
-    rep_id: smallest id with the same set of n-grams; n_links: other rows whose set has at least the
-    given Jaccard similarity, copies included; class_id: smallest id that links lead to; kept: the row is
-    the one that stays of its class. Texts without words (null, empty) have no links and stay alone, and so
-    does each row of them. Rows with a null id link with nothing and stay. Rows that repeat an id are copies of each other if their texts agree; all but
-    one are not kept only by id, so ids should be unique. An empty table gives an empty table.
-    """
+    Inside, classes have numbers of their own and rows too, so ids may be of any type that has an order, and
+    may repeat."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc is not null")
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
 
     def digest(batches):
         import xxhash
 
         for pdf in batches:
-            keys, size, sigs = [], [], []
+            keys, sigs = [], []
             for t in pdf["t"]:
                 s = shingles(t, n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                size.append(len(s))
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc": pdf["doc"], "key": keys, "size": pd.Series(size, dtype="int64"), "sig": sigs})
+            yield pd.DataFrame({"i": pdf["i"], "th": pdf["th"], "key": keys, "sig": sigs})
         _hashes.clear()  # workers live on for other stages
 
-    digests = materialize(docs.mapInPandas(digest, "doc bigint, key binary, size bigint, sig binary"), "ngram-digests")
-    classes = digests.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "ngram-classes")
+    digests = docs.select(F.col("doc").cast("string").alias("i"), "th", "t").mapInPandas(digest, "i string, th bigint, key binary, sig binary")
+    digests = materialize(digests.select(F.col("i").cast(kind).alias("doc"), "th", "key", "sig", F.monotonically_increasing_id().alias("row")), "ngram-digests")
+    classes = digests.where("key is not null").groupBy("key").agg(F.min(F.struct("doc", "th", "row")).alias("first"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("key", F.monotonically_increasing_id().alias("class"), "first", "copies"), "ngram-classes")
 
     # Signatures of the classes: each class's first row has one.
     @F.pandas_udf("array<int>")
     def unpacked(sig: pd.Series) -> pd.Series:
         return sig.map(lambda x: np.frombuffer(x, dtype=np.int32))
 
-    firsts = digests.where("key is not null").select(F.col("doc").alias("rep"), "key", "sig").join(classes.select("rep", "key"), ["rep", "key"]).dropDuplicates(["rep"])
-    firsts = materialize(firsts.select("rep", unpacked("sig").alias("sig")), "ngram-signatures")
+    firsts = digests.where("key is not null").select("row", "sig").join(classes.select(F.col("first.row").alias("row"), "class"), "row")
+    firsts = materialize(firsts.select("class", unpacked("sig").alias("sig")), "ngram-signatures")
 
     rows = firsts.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs_needed(similarity, recall))), lambda r: F.xxhash64(r))))
     leaves, chained, passed = [], None, [firsts]
     for depth in range(DEPTH):
         children = materialize(_children(rows, similarity), f"ngram-nodes-{depth}")
-        counts = children.groupBy("path").agg(F.count("*").alias("members"), F.min("rep").alias("first")).where("members > 1")
+        counts = children.groupBy("path").agg(F.count("*").alias("members"), F.min("class").alias("first")).where("members > 1")
         salted = materialize(counts.withColumn("salt", F.explode(F.when(F.col("members") > BUCKET, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(-1))))), f"ngram-counts-{depth}")
         small = children.join(salted.where("salt < 0").select("path"), "path")
-        leaves.append(small.select("path", "rep"))
-        large = children.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(16)).cast("int")).join(salted.where("salt >= 0").select("path", "salt", "first"), ["path", "salt"])
-        large = materialize(large.select("path", "rep", "first"), f"ngram-large-{depth}")
+        leaves.append(small.select("path", "class"))
+        large = children.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(16)).cast("int")).join(salted.where("salt >= 0").select("path", "salt", "first"), ["path", "salt"])
+        large = materialize(large.select("path", "class", "first"), f"ngram-large-{depth}")
         passed += [children, salted, large]
         if depth == DEPTH - 1:
-            chained = large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+            chained = large.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
         elif large.isEmpty():
             break
         else:
-            rows = large.select("path", "rep").join(firsts, "rep")
+            rows = large.select("path", "class").join(firsts, "class")
 
     @F.pandas_udf("binary")
     def sketch(sig: pd.Series) -> pd.Series:
@@ -226,7 +223,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
-    members = members.join(firsts.select("rep", sketch("sig").alias("sketch")), "rep").select("path", "rep", "sketch")
+    members = members.join(firsts.select("class", sketch("sig").alias("sketch")), "class").select("path", "class", "sketch")
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / PLACES)
     parts = shuffle_partitions(spark)
     candidates = members.repartition(parts, "path").sortWithinPartitions("path").mapInPandas(_compare(least), "a bigint, b bigint")
@@ -245,40 +242,72 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = groups.join(spread.where("blocks = 1").select("component", "blocks"), "component")
     more = groups.withColumn("salt", salt).join(spread.where("blocks > 1").select("component", "salt", "blocks"), ["component", "salt"]).drop("salt")
     dealt = one.unionByName(more.select(*one.columns)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = materialize(dealt.withColumnRenamed("node", "rep").join(classes.select("rep", "copies"), "rep"), "ngram-groups")
+    dealt = dealt.withColumnRenamed("node", "class").join(classes.select("class", "first.doc", "first.th", "copies"), "class")
+    dealt = materialize(dealt, "ngram-groups")
     free_shuffles(spark)
 
     def tokens(batches):
         for pdf in batches:
             yield pdf.assign(tokens=[shingles(t, n).tobytes() for t in pdf["t"]]).drop(columns="t")
 
-    own = docs.withColumnRenamed("doc", "rep").join(dealt, "rep").dropDuplicates(["rep"])
-    own = own.select("rep", "component", "block", "blocks", "copies", "t").mapInPandas(tokens, "rep bigint, component bigint, block int, blocks int, copies bigint, tokens binary")
+    own = docs.join(dealt, ["doc", "th"]).dropDuplicates(["class"])
+    own = own.select("class", "component", "block", "blocks", "copies", "t").mapInPandas(tokens, "class bigint, component bigint, block int, blocks int, copies bigint, tokens binary")
     # Block k meets every block: as side 0 those from k on, as side 1 those before.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = own.withColumn("other", other).withColumn("side", (F.col("other") < F.col("block")).cast("int"))
     tasks = tasks.withColumn("task", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    found = tasks.select("task", "side", "rep", "copies", "tokens").repartition(parts, "task").sortWithinPartitions("task").mapInPandas(_check(similarity), "a bigint, b bigint, n bigint")
+    found = tasks.select("task", "side", "class", "copies", "tokens").repartition(parts, "task").sortWithinPartitions("task").mapInPandas(_check(similarity), "a bigint, b bigint, n bigint")
     found = materialize(found, "ngram-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    linked = components(found.where("a <> b")).select(F.col("node").alias("rep"), "component")
-    described = classes.join(links, "rep", "left").join(linked, "rep", "left")
-    described = described.select("key", "rep", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
+    links = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
+    joined = components(found.where("a <> b"))
+    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "class")
+    joined = materialize(joined.join(classes.select("class", "first"), "class"), "ngram-components")
+    heads = materialize(joined.groupBy("component").agg(F.min("first").alias("head")), "ngram-heads")
+    named = joined.select("class", "component").join(heads, "component").drop("component")
+    described = classes.join(links, "class", "left").join(named, "class", "left")
+    described = described.select("key", "copies", F.col("first.doc").alias("rep"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("head", "first").alias("head"))
     described = materialize(described, "ngram-classes-described")
-    discard(classes, candidates, spread, dealt, found)
-    out = digests.select("doc", "key").join(described, "key", "left")
-    none = F.lit(None).cast("bigint")
-    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), none.alias("class_id"), none.alias("rep_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
+    discard(classes, candidates, spread, dealt, found, joined, heads)
+    out = digests.select("doc", "th", "row", "key").join(described, "key", "left")
     return out.select(
-        F.col("doc").cast(kind).alias(id_col),
-        F.coalesce("component", "doc").alias("class_id"),
+        "doc",
+        "th",
+        F.coalesce("head.doc", "doc").alias("class_id"),
         F.coalesce("rep", "doc").alias("rep_id"),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        (F.coalesce("component", "doc") == F.col("doc")).alias("kept"),
-    ).unionByName(bare)
+        (F.coalesce("head.row", "row") == F.col("row")).alias("kept"),
+    )
+
+
+def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(id_col, class_id, rep_id, n_links, kept) for each row of df.
+
+    rep_id: smallest id with the same set of n-grams; n_links: other rows whose set has at least the
+    given Jaccard similarity, copies included; class_id: smallest id that links lead to; kept: the row is
+    the one that stays of its class. Texts without words (null, empty) have no links and stay alone, and so
+    does each row of them. Rows with a null id link with nothing and stay. Ids may be numbers or text; class_id
+    and rep_id have their type. Each row counts for itself, also where an id repeats: rows of one id with
+    different texts belong to the classes of their texts, and of equal rows one is kept. An empty table gives
+    an empty table.
+    """
+    kind = df.schema[id_col].dataType
+    none = F.lit(None).cast(kind)
+    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), none.alias("class_id"), none.alias("rep_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
+    found = _linked(df, id_col, text_col, n, similarity, recall)
+    return found.select(F.col("doc").alias(id_col), "class_id", "rep_id", "n_links", "kept").unionByName(bare)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that stay: one document of each class, and rows with a null id."""
-    drop = link_documents(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(drop, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of df, all columns, that stay: one document of each class, texts without words, and rows with a
+    null id. Rows are told apart by id and text; of several that agree in both, one stays."""
+    found = _linked(df, id_col, text_col, N, SIMILARITY, RECALL)
+    leaving = found.groupBy(F.col("doc").alias("_gone_id"), F.col("th").alias("_gone_hash")).agg(F.count("*").alias("_rows"), F.count(F.when(F.col("kept"), 1)).alias("_stay")).where("_stay < _rows")
+    leaving = materialize(leaving, "ngram-leaving")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    on = lambda rows: (F.col(id_col) == rows["_gone_id"]) & (hashed == rows["_gone_hash"])
+    out = df.join(leaving, on(leaving), "left_anti")
+    several = leaving.where("_stay > 0")
+    if several.isEmpty():
+        return out
+    one = df.join(several, on(several), "left_semi").withColumn("_gone_hash", hashed).dropDuplicates([id_col, "_gone_hash"]).drop("_gone_hash")
+    return out.unionByName(one)
