@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -433,7 +434,7 @@ def test_embedding_dedup(spark):
     for _ in range(60):
         for i, j in pairs:
             label[i] = label[j] = min(label[i], label[j])
-    got = embedding_dedup.link_vectors(df, reach=4.0).collect()  # sqrt of 16: no pair can be lost
+    got = embedding_dedup.link_vectors(df).collect()  # no more rows than the sample: no pair can be lost
     assert len(got) == len(rows)
     for r in got:
         if r["vec_id"] is None:
@@ -446,48 +447,65 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
-def test_embedding_dedup_recall_at_the_threshold():
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(4000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    u = rng.normal(size=x.shape)
-    u -= (u * x).sum(axis=1)[:, None] * x
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    y = 0.9 * x + np.sqrt(0.19) * u  # cosine 0.9 exactly: the hardest pairs
-    c = embedding_dedup.spherical_kmeans(x[:2000], 40)
-    shown = [set(), set()]
-    homes = []
-    for k, z in enumerate((x, y)):
-        home, row, cell = embedding_dedup.cells_of(z, c, 0.9)
-        homes.append(home)
-        shown[k] = set(zip(row.tolist(), cell.tolist()))
-    met = [a == b or (k, min(a, b)) in shown[int(a < b)] for k, (a, b) in enumerate(zip(homes[0].tolist(), homes[1].tolist()))]
-    assert np.mean(met) >= 0.99
-
-
-@pytest.mark.parametrize("rank", [64, 16, 8, 5])
-def test_embedding_dedup_recall_in_fewer_dimensions(rank):
+def unit_rows(rng, n, rank):
+    x = rng.normal(size=(n, rank)) @ (np.eye(64) if rank == 64 else np.random.default_rng(rank).normal(size=(rank, 64)))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("rank,n", [(64, 20_000), (16, 20_000), (8, 20_000), (5, 20_000), (64, 10_000_000), (5, 10_000_000)])
+def test_embedding_dedup_recall_at_the_threshold(rank, n):
     rng = np.random.default_rng(rank)
-    basis = rng.normal(size=(rank, 64))
+    x, u = unit_rows(rng, 8000, rank), unit_rows(rng, 8000, rank)
+    u -= (u * x).sum(axis=1)[:, None] * x
+    y = 0.9 * x + np.sqrt(0.19) * u / np.linalg.norm(u, axis=1)[:, None]  # cosine 0.9 exactly: the hardest pairs
+    runs = embedding_dedup.fit_runs(unit_rows(rng, 4000, rank), n)
+    assert len(runs) < embedding_dedup.MOST_RUNS and all(len(c) <= embedding_dedup.LEVEL for r in runs for c in r)
+    a, b = embedding_dedup.cells_of(x, runs), embedding_dedup.cells_of(y, runs)
+    assert np.mean((a == b).any(axis=1)) >= 0.998
+    held = [np.unique(embedding_dedup.cells_of(unit_rows(rng, 8000, rank), runs)[:, 0], return_counts=True)[1].max()]
+    assert max(held) < 8000 / (4 if n < 1_000_000 else 20)
 
-    def unit(n):
-        x = rng.normal(size=(n, rank)) @ basis
-        return x / np.linalg.norm(x, axis=1)[:, None]
 
-    x, u = unit(8000), unit(8000)
+def test_embedding_dedup_recall_of_the_whole(spark, tmp_path):
+    """100,000 vectors: the links that planted partners of cosine 0.9 to 0.95 have, and no others."""
+    rng = np.random.default_rng(3)
+    x = unit_rows(rng, 50_000, 64)
+    u = rng.normal(size=x.shape)
     u -= (u * x).sum(axis=1)[:, None] * x
-    y = 0.9 * x + np.sqrt(0.19) * u / np.linalg.norm(u, axis=1)[:, None]
-    sample = unit(4000)
-    c = embedding_dedup.spherical_kmeans(sample, 50)
-    part = embedding_dedup.crossing(sample, c, 0.9)
-    homes, shown = [], []
-    for z in (x, y):
-        home, row, cell = embedding_dedup.cells_of(z, c, 0.9, part=part)
-        homes.append(home)
-        shown.append(set(zip(row.tolist(), cell.tolist())))
-    met = [a == b or (k, min(a, b)) in shown[int(a < b)] for k, (a, b) in enumerate(zip(homes[0].tolist(), homes[1].tolist()))]
-    assert np.mean(met) >= 0.999
-    assert rank < 64 or part < 0.8
+    c = rng.uniform(0.9005, 0.95, (len(x), 1))
+    y = c * x + np.sqrt(1 - c * c) * u / np.linalg.norm(u, axis=1)[:, None]
+    pdf = pd.DataFrame({"vec_id": np.arange(100_000), "embedding": list(np.concatenate([x, y]))})
+    pdf.to_parquet(tmp_path / "vectors.parquet")
+    got = embedding_dedup.link_vectors(spark.read.parquet(f"file://{tmp_path}/vectors.parquet").repartition(8)).toPandas().set_index("vec_id").sort_index()
+    wanted = (np.arange(100_000) % 50_000, np.ones(100_000))
+    assert len(got) == 100_000 and got["n_links"].max() == 1
+    assert (got["n_links"] == 1).mean() >= 0.999
+    linked = got[got["n_links"] == 1]
+    assert (linked["component_id"] == wanted[0][linked.index]).all()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_embedding_dedup_of_repeated_and_text_ids(spark, kind):
+    e = np.eye(6)
+    rows = [("1", e[0]), ("1", e[1]), ("2", e[0] + 0.1 * e[2]), ("3", e[0] - 0.1 * e[2]), ("4", e[3]), ("4", e[3] + 0.1 * e[4]), ("5", e[3] - 0.1 * e[4]), ("9", e[3])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "i string, embedding array<double>").select(F.col("i").cast(kind).alias("vec_id"), "embedding")
+    got = Counter((int(r["vec_id"]), r["n_links"], int(r["component_id"]), r["kept"]) for r in embedding_dedup.link_vectors(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 3, 4, True), (4, 3, 4, True), (5, 3, 4, False), (9, 3, 4, False)])
+
+
+def test_embedding_dedup_counts_a_pair_once(spark, monkeypatch):
+    """Groups that meet in every run, in cells of several blocks."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 256)
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(40, 16)) for c in rng.normal(size=(20, 16))] + [rng.normal(size=(300, 8))@rng.normal(size=(8, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_vectors(df).collect()}
+    assert {k: got[k] for k in range(800)} == dict(enumerate(links[:800].tolist()))
+    assert sum(got.values()) >= 0.998 * links.sum() and all(got[k] <= links[k] for k in got)
 
 
 def test_embedding_dedup_of_correlated_vectors(spark):

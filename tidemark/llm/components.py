@@ -49,6 +49,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def least_members(links: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, least): for each node of links (a, b) the least value of its component, from firsts (node, first)."""
+    named = components(links)
+    named = named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
+    named = materialize(named.join(firsts, "node"), "component-members")
+    least = materialize(named.groupBy("component").agg(F.min("first").alias("least")), "component-least")
+    out = materialize(named.select("node", "component").join(least, "component").select("node", "least"), "component-named")
+    discard(named, least)
+    return out
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest member's index of each of n nodes' components, for links i-j within one task."""
     label = np.arange(n)

@@ -1,16 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
-Equal vectors are one class first. Centroids are fitted on a bounded sample; every vector has a home cell,
-that of the centroid nearest by angle, and is also shown to each other cell (of smaller number, so that a
-pair meets once) whose border it may cross on the way to a vector of the least cosine. Crossing takes a turn
-whose part across the border is at most sin(angle); a random turn in d dimensions has a part of about
-1 / sqrt(d) of that, and REACH of these are allowed for. Vectors that lie in fewer dimensions turn further across,
-so turns of the least cosine from sampled vectors towards their nearest and towards other sampled vectors are
-tried, and the allowed part is raised, up to 1, until none of these is lost. With REACH = sqrt(d) (part 1) no pair
-can be lost, but in many dimensions nearly all vectors are then shown to nearly all cells; a table that is no
-larger than the sample is compared like that. Within a cell the products of
-blocks of home vectors with blocks of shown vectors are taken in double precision; a task returns numbers of
-links and a spanning forest, never pairs. The smallest id of a component stays.
+Equal vectors are one class first. Centroids are fitted on a bounded sample, and each vector belongs to the cell
+of the centroid nearest by angle; vectors of one cell are compared. A pair near a border may lie in two cells,
+so the space is cut into cells anew, from other starting centroids, until of pairs of exactly the least cosine,
+turned from sampled vectors (not those fitted on) towards their nearest, and of those turned towards any others,
+the share RECALL has met in some run. A pair counts in the first run in which it meets. Cells hold PER_CELL vectors on average at
+any size: where one clustering would need more than LEVEL centroids, a cell is a cell of each of several
+clusterings. So a vector has as many copies as there are runs, and work grows with the rows and the runs. A
+table no larger than the sample has one cell and is compared exactly.
+
+Within a cell the products of blocks with blocks are taken in double precision; a task returns numbers of links
+and a spanning forest, never pairs. The smallest id of a component stays.
 """
 
 from __future__ import annotations
@@ -19,22 +19,25 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, shuffle_partitions, sorted_groups
-from tidemark.llm.components import components, forest
+from tidemark.llm.components import forest, least_members
 
-COSINE, REACH = 0.9, 2.5
-#: Vectors fitted on at most, cells at most, vectors a cell should have, rounds of fitting, rows of a block.
-SAMPLE_ROWS, MOST_CELLS, PER_CELL, ROUNDS, BLOCK = 8192, 1024, 400, 12, 512
+COSINE, RECALL = 0.9, 0.9995
+#: Vectors fitted on at most, lengths with cells of their own, vectors a cell should have, centroids of one
+#: clustering at most, rounds of fitting, rows of a block.
+SAMPLE_ROWS, LENGTHS, PER_CELL, LEVEL, ROUNDS, BLOCK = 8192, 64, 400, 256, 6, 512
 #: Sampled vectors that turns are tried from, and how many towards near and towards other ones.
 PROBES, TOWARDS = 1024, 4
+#: Runs at most; where they do not suffice, cells are made fewer.
+MOST_RUNS = 128
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """k unit centroids of unit rows x; empty cells take the rows that fit worst."""
-    c = x[:k].copy()
+    c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         s = x @ c.T
         own = s.argmax(axis=1)
@@ -48,59 +51,103 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def crossing(x: np.ndarray, centroids: np.ndarray, cosine: float, reach: float = REACH) -> float:
-    """Part of a turn across a border that is to be allowed for with unit rows like those of x, 1 at most: reach
-    deviations of a random turn, or what the farthest of the turns tried takes."""
-    part, sine = min(1.0, reach / math.sqrt(x.shape[1])), math.sqrt(1 - cosine * cosine)
+def turned_pairs(x: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of exactly the least cosine: unit rows of x, and these turned to both sides of their nearest rows;
+    then the same with any other rows."""
     rng = np.random.default_rng(0)
-    for rows in np.array_split(rng.permutation(len(x))[:PROBES], 8):
-        if not len(rows):
-            continue
-        a = x[rows]
-        near = (a @ x.T).argsort(axis=1)[:, -TOWARDS - 1 :]
-        to = np.concatenate([near, rng.integers(0, len(x), (len(rows), TOWARDS))], axis=1)
-        start = np.repeat(a, to.shape[1], axis=0)
-        turn = x[to.ravel()] - (x[to.ravel()] * start).sum(axis=1)[:, None] * start
+    own = rng.permutation(len(x))[:PROBES]
+    near = np.concatenate([(x[rows] @ x.T).argsort(axis=1)[:, -TOWARDS - 1 :] for rows in np.array_split(own, 8)])
+    out = []
+    for to in (near, rng.integers(0, len(x), (len(own), TOWARDS))):
+        start, target = np.repeat(x[own], to.shape[1], axis=0), x[to.ravel()]
+        turn = target - (target * start).sum(axis=1)[:, None] * start
         size = np.linalg.norm(turn, axis=1)
         start, turn = start[size > 1e-6], turn[size > 1e-6] / size[size > 1e-6, None]
-        s = start @ centroids.T
-        home = s.argmax(axis=1)
-        for end in (cosine * start + sine * turn, cosine * start - sine * turn):
-            s_end = end @ centroids.T
-            home_end = s_end.argmax(axis=1)
-            at, hi, lo = np.arange(len(s)), np.maximum(home, home_end), np.minimum(home, home_end)
-            own = np.where((home > home_end)[:, None], s, s_end)  # of the one that is shown to the other's cell
-            apart = np.linalg.norm(centroids[hi] - centroids[lo], axis=1)
-            needed = (own[at, hi] - own[at, lo])[hi != lo] / (sine * apart[hi != lo])
-            part = min(1.0, max(part, needed.max(initial=0.0)))
-    return part
-
-
-def cells_of(x: np.ndarray, centroids: np.ndarray, cosine: float, reach: float = REACH, part: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home cell of each unit row; rows and the cells before their own that they are shown to)."""
-    s = x @ centroids.T
-    home = s.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centroids @ centroids.T))
-    gap = s[np.arange(len(x)), home][:, None] - s
-    part = min(1.0, reach / math.sqrt(x.shape[1])) if part is None else part
-    near = gap <= part * math.sqrt(1 - cosine * cosine) * apart[home] + 1e-9
-    near &= np.arange(len(centroids))[None, :] < home[:, None]
-    row, cell = near.nonzero()
-    return home, row, cell
-
-
-def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, reach: float = REACH) -> DataFrame:
+        ends = [cosine * start + sign * math.sqrt(1 - cosine * cosine) * turn for sign in (1, -1)]
+        out.append((np.concatenate([start, start]), np.concatenate(ends)))
+    return out
+
+
+def cells_of(x: np.ndarray, runs: list[list[np.ndarray]]) -> np.ndarray:
+    """Cell of each unit row of x in each run; a run is a list of clusterings."""
+    out = np.zeros((len(x), len(runs)), dtype=np.int64)
+    for r, levels in enumerate(runs):
+        for c in levels:
+            out[:, r] = out[:, r] * len(c) + (x @ c.T).argmax(axis=1)
+    return out
+
+
+def fit_runs(x: np.ndarray, n: int, cosine: float = COSINE, recall: float = RECALL) -> list[list[np.ndarray]]:
+    """Runs of clusterings for n unit vectors like the sample x: fitted on one half, tried on the other."""
+    if n <= len(x) or recall >= 1:
+        return [[x[:1]]]
+    half, pairs = x[::2], turned_pairs(x[1::2], cosine)
+    cells = n / PER_CELL
+    while cells > 1:
+        levels = max(1, math.ceil(math.log(cells) / math.log(LEVEL)))
+        k = max(2, min(round(cells ** (1 / levels)), len(half) // 8))
+        runs, apart = [], [np.ones(len(start), dtype=bool) for start, _ in pairs]
+        while len(runs) < MOST_RUNS:
+            runs.append([spherical_kmeans(half, k, seed=len(runs) * levels + j) for j in range(levels)])
+            for a, (start, end) in zip(apart, pairs):
+                a &= cells_of(start, runs[-1:])[:, 0] != cells_of(end, runs[-1:])[:, 0]
+            missed = max((a.mean() for a in apart if len(a)), default=0)
+            if missed <= 1 - recall:
+                return runs
+            if len(runs) == 4 and missed ** (MOST_RUNS / 4) > 1 - recall:
+                break  # MOST_RUNS will not do either
+        cells /= 2
+    return [[x[:1]]]
+
+
+def _compare(cosine: float):
+    """Pairs of blocks of a cell, sorted by task, to links: rows (a, b, n): a and b hang together, a has n
+    other vectors linked that it has not met in an earlier run."""
+
+    def run(batches):
+        for group in sorted_groups(batches, "task"):
+            if len(group) < 2:
+                continue
+            side, before = group["side"].to_numpy(), int(group["run"].iat[0])
+            same = not (side == 1).any() or not (side == 0).any()
+            parts = [group] if same else [group[side == 0], group[side == 1]]
+            units = [np.frombuffer(b"".join(p["unit"])).reshape(len(p), -1) for p in parts]
+            cells = [np.frombuffer(b"".join(p["cells"]), dtype=np.int64).reshape(len(p), -1)[:, :before] for p in parts]
+            own, copies = [p["class"].to_numpy() for p in parts], [p["copies"].to_numpy() for p in parts]
+            linked = units[0] @ units[-1].T >= cosine
+            if same:
+                np.fill_diagonal(linked, False)
+            i, j = linked.nonzero()
+            if not len(i):
+                continue
+            for lo in range(0, len(i) if before else 0, 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                met = (cells[0][p] == cells[-1][q]).any(axis=1)
+                linked[p[met], q[met]] = False
+            i, j = linked.nonzero()
+            n = np.concatenate([linked @ copies[-1], linked.T @ copies[0]][: len(parts)]).astype(np.int64)
+            both = np.concatenate(own)
+            root = forest(len(both), i, j if same else j + len(own[0]))
+            some = n > 0
+            yield pd.DataFrame({"a": both[some], "b": both[root[some]], "n": n[some]})
+
+    return run
+
+
+def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of df.
 
     n_links counts the other rows of cosine at or above the threshold (which must be positive); the
     component is the smallest id that links lead to. Vectors that are null, empty, zero, or hold a null, NaN
     or infinite component link with nothing and stay, so do rows with a null id (their component is null).
-    Vectors of different lengths never link. Other columns are left out, so their names do not matter.
+    Vectors of different lengths never link; beyond the LENGTHS commonest lengths, all vectors of one length
+    are compared. Ids may be numbers or text, and may repeat: each row counts for its own vector. With recall
+    1 all vectors are compared. Other columns are left out, so their names do not matter.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.when(good, v).alias("v"))
 
     def digest(batches):
         import xxhash
@@ -116,81 +163,60 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 keys.append(xxhash.xxh3_128_digest(a.tobytes()))
                 a = a / np.abs(a).max()
                 units.append((a / np.linalg.norm(a)).tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "key": keys, "unit": units})
-
-    digests = materialize(rows.mapInPandas(digest, "id bigint, key binary, unit binary"), "vector-digests")
-    classes = digests.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
-    classes = materialize(classes, "vector-classes")
-
-    n = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("unit").collect()
-    by_length: dict[int, list[np.ndarray]] = {}
-    for r in sample:
-        by_length.setdefault(len(r["unit"]), []).append(np.frombuffer(r["unit"]))
-    centroids = {}
-    for length, x in by_length.items():
-        k = max(1, min(MOST_CELLS, math.ceil(n / PER_CELL), len(x) // 8))
-        x = np.array(x)
-        c = spherical_kmeans(x, k)
-        centroids[length] = c, 1.0 if n <= SAMPLE_ROWS else crossing(x, c, cosine, reach)
-    sent = spark.sparkContext.broadcast(centroids)  # SAMPLE_ROWS / 8 vectors at most
+            yield pd.DataFrame({"i": pdf["i"], "key": keys, "unit": units})
+
+    digests = rows.mapInPandas(digest, "i string, key binary, unit binary").select(F.col("i").cast(kind).alias("id"), "key", "unit")
+    digests = materialize(digests, "vector-digests")
+    classes = digests.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+
+    length = F.octet_length("unit")
+    counts = {r["length"]: r["n"] for r in classes.groupBy(length.alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(LENGTHS).collect()}
+    runs = {}
+    if counts:
+        places = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("key"), "key"))
+        sampled = classes.select(length.alias("length"), "key", "unit").where(F.col("length").isin(list(counts))).withColumn("place", places).where(F.col("place") <= SAMPLE_ROWS // len(counts))
+        found: dict[int, list[np.ndarray]] = {}
+        for r in sampled.select("length", "unit").collect():  # SAMPLE_ROWS vectors at most
+            found.setdefault(r["length"], []).append(np.frombuffer(r["unit"]))
+        runs = {k: fit_runs(np.array(x), counts[k], cosine, recall) for k, x in found.items()}
+    sent = spark.sparkContext.broadcast(runs)  # LEVEL centroids a clustering at most; bounded by MOST_RUNS, not by the rows
 
     def assign(batches):
         for pdf in batches:
             lengths = pdf["unit"].map(len).to_numpy()
-            for length in np.unique(lengths):
-                part = pdf[lengths == length]
+            for k in np.unique(lengths):
+                part = pdf[lengths == k]
                 x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1)
-                c = sent.value.get(int(length))
-                home, row, cell = cells_of(x, c[0], cosine, part=c[1]) if c is not None else (np.zeros(len(x), int), np.zeros(0, int), np.zeros(0, int))
-                units = part["unit"].to_numpy(dtype=object)
-                reps, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
-                at, side = np.concatenate([np.arange(len(x)), np.arange(len(x)), row]), np.repeat([0, 1, 2], [len(x), len(x), len(row)])
-                yield pd.DataFrame({"cell": int(length) * MOST_CELLS + np.concatenate([home, home, cell]), "side": side, "rep": reps[at], "copies": copies[at], "unit": units[at]})
-
-    shown = classes.select("rep", "copies", "unit").mapInPandas(assign, "cell bigint, side int, rep bigint, copies bigint, unit binary")
-    shown = materialize(shown, "vector-cells")
-    sizes = shown.groupBy("cell").agg(*(F.greatest(F.ceil(F.count(F.when((F.col("side") > 0) == bool(s), 1)) / BLOCK).cast("int"), F.lit(1)).alias(f"blocks{s}") for s in (0, 1)))
-    # A row for each cell: MOST_CELLS for each vector length in the sample.
-    dealt = shown.join(F.broadcast(sizes), "cell")
-    block = lambda s: F.pmod(F.xxhash64("rep", F.lit(5)), F.col(f"blocks{s}")).cast("int")
-    every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"blocks{s}") - 1))
-    home = dealt.where("side = 0").withColumn("i", block(0)).withColumn("j", every(1))
-    seen = dealt.where("side > 0").withColumn("j", block(1)).withColumn("i", every(0))
-    tasks = home.select("cell", "i", "j", "side", "rep", "copies", "unit").unionByName(seen.select("cell", "i", "j", "side", "rep", "copies", "unit"))
-    tasks = tasks.select(F.xxhash64("cell", "i", "j").alias("task"), "side", "rep", "copies", "unit")
-
-    def compare(batches):
-        for group in sorted_groups(batches, "task"):
-            side = group["side"].to_numpy()
-            a, b, foreign = group[side == 0], group[side > 0], side[side > 0] == 2
-            if not len(a) or not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(p["unit"])).reshape(len(p), -1) for p in (a, b))
-            ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-            linked = x @ y.T >= cosine
-            linked &= ra[:, None] != rb[None, :]
-            i, j = linked.nonzero()
-            reps, at = np.unique(np.concatenate([ra, rb]), return_inverse=True)
-            root = forest(len(reps), at[: len(ra)][i], at[len(ra) :][j])
-            n = np.zeros(len(reps), dtype=np.int64)
-            n[at[: len(ra)]] = linked @ b["copies"].to_numpy()
-            n[at[len(ra) :][foreign]] += linked[:, foreign].T @ a["copies"].to_numpy()
-            some = (root != np.arange(len(reps))) | (n > 0)
-            yield pd.DataFrame({"a": reps[some], "b": reps[root[some]], "n": n[some]})
-
-    found = tasks.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task").mapInPandas(compare, "a bigint, b bigint, n bigint")
-    found = materialize(found, "vector-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    linked = components(found.where("a <> b")).select(F.col("node").alias("rep"), "component")
-    described = classes.select("key", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
-    described = described.select("key", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
+                own = sent.value.get(int(k), [[]])
+                cells = cells_of(x, own) + ((int(k) * MOST_RUNS + np.arange(len(own))) << 32)
+                yield pd.DataFrame({"class": part["class"].to_numpy(), "copies": part["copies"].to_numpy(), "places": list(cells), "cells": [c.tobytes() for c in cells], "unit": part["unit"].to_numpy()})
+
+    placed = classes.select("class", "copies", "unit").mapInPandas(assign, "class bigint, copies bigint, places array<bigint>, cells binary, unit binary")
+    placed = materialize(placed, "vector-cells")
+    each = placed.select("class", F.posexplode("places").alias("run", "cell"))
+    sizes = each.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # Members of a cell of several blocks meet its size in 16 parts.
+    spread = materialize(sizes.withColumn("salt", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(-1))))), "vector-cell-sizes")
+    one = each.join(spread.where("salt < 0").select("cell", "blocks"), "cell")
+    more = each.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(16)).cast("int")).join(spread.where("salt >= 0").select("cell", "salt", "blocks"), ["cell", "salt"]).drop("salt")
+    dealt = one.unionByName(more).withColumn("block", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int"))
+    # Block k meets every block: as side 0 those from k on, as side 1 those before.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = dealt.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("other") < F.col("block")).cast("int").alias("side"), "run", "class")
+    tasks = tasks.join(placed.select("class", "copies", "cells", "unit"), "class")
+    found_links = tasks.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task").mapInPandas(_compare(cosine), "a bigint, b bigint, n bigint")
+    found_links = materialize(found_links, "vector-links")
+    links = found_links.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
+    least = least_members(found_links.where("a <> b"), classes.select(F.col("class").alias("node"), "first"))
+    described = classes.select("key", "class", "first", "copies").join(links, "class", "left").join(least.withColumnRenamed("node", "class"), "class", "left")
+    described = described.select("key", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("least", "first").alias("component"))
     described = materialize(described, "vector-classes-described")
-    discard(classes, shown, found)
+    discard(classes, placed, spread, found_links, least)
     out = digests.select("id", "key").join(described, "key", "left")
-    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
+    bare = df.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast(kind).alias("component_id"), F.lit(True).alias("kept"))
     return out.select(
-        F.col("id").cast(kind).alias(id_col),
+        F.col("id").alias(id_col),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id") == F.col("id")).alias("kept"),

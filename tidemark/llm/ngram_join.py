@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, free_shuffles, materialize, shuffle_partitions, sorted_groups
-from tidemark.llm.components import components, forest
+from tidemark.llm.components import components, forest, least_members
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Signature places; members of a node compared at once; splits; members of a block in the exact check.
@@ -259,15 +259,11 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     found = tasks.select("task", "side", "class", "copies", "tokens").repartition(parts, "task").sortWithinPartitions("task").mapInPandas(_check(similarity), "a bigint, b bigint, n bigint")
     found = materialize(found, "ngram-links")
     links = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
-    joined = components(found.where("a <> b"))
-    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "class")
-    joined = materialize(joined.join(classes.select("class", "first"), "class"), "ngram-components")
-    heads = materialize(joined.groupBy("component").agg(F.min("first").alias("head")), "ngram-heads")
-    named = joined.select("class", "component").join(heads, "component").drop("component")
-    described = classes.join(links, "class", "left").join(named, "class", "left")
+    heads = least_members(found.where("a <> b"), classes.select(F.col("class").alias("node"), "first"))
+    described = classes.join(links, "class", "left").join(heads.select(F.col("node").alias("class"), F.col("least").alias("head")), "class", "left")
     described = described.select("key", "copies", F.col("first.doc").alias("rep"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("head", "first").alias("head"))
     described = materialize(described, "ngram-classes-described")
-    discard(classes, candidates, spread, dealt, found, joined, heads)
+    discard(classes, candidates, spread, dealt, found, heads)
     out = digests.select("doc", "th", "row", "key").join(described, "key", "left")
     return out.select(
         "doc",
