@@ -10,7 +10,7 @@ hashed gram in it, which equal windows share.
    are alone are unique and leave; no window that they stand for can repeat.
 2. Rank at the whole context of an anchor, the windows that it stands for: among equal contexts each but the
    first repeats an earlier one, and all its windows are settled. If all contexts of a gram are equal, the
-   first is settled too.
+   first is settled too. A context is told by one 64-bit name within its gram.
 3. First contexts of grams that go on differently are ranked at half the way to the threshold: a window holds,
    besides the gram, half of what it has more on the left or on the right of it, so the names of the gram with
    its left and with its right neighbourhood are compared, and the windows on a side that is alone leave.
@@ -27,8 +27,9 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.common import discard, free_shuffles, map_rows, materialize, shuffle_partitions, whole_groups
 
@@ -291,19 +292,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) for each row of df.
 
     Bytes covered by a string of ``threshold`` bytes that starts earlier too (smaller id, or earlier in the
-    same text) are removed; all is judged on the input. A null text is empty. Null ids come last. Rows that
-    repeat an id with other texts are ordered by a hash of the text; rows that agree in id and text are one
-    document, so each of them gets its result. Texts below the threshold lose nothing.
+    same text) are removed; all is judged on the input. A null text is empty. Ids may be numbers or text; null
+    ids come last. Rows that repeat an id with other texts are ordered by a hash of the text; rows that agree in
+    id and text are one document, so each of them gets its result. Texts below the threshold lose nothing.
     """
     kind = df.schema[id_col].dataType
-    named = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    plain = df.select(F.col(id_col).cast("long").alias("doc")).groupBy("doc").agg(F.count("*").alias("k")).where("k > 1 or doc is null").isEmpty()
+    named = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    whole = isinstance(kind, IntegralType)
+    plain = whole and named.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1 or doc is null").isEmpty()
     if plain:
-        docs = named.withColumn("id", F.col("doc"))
-    else:  # rare: new numbers in the order of ids and hashes; only ids and hashes are gathered for it
+        docs = named.select(F.col("doc").alias("id"), F.col("doc").cast("bigint").alias("doc"), "t")
+    else:  # numbers that grow in the order of ids and hashes, from the places in sorted ranges
         hashed = named.withColumn("th", F.xxhash64("t"))
-        ranks = hashed.select("doc", "th").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("doc").asc_nulls_last(), "th")).cast("long"))
-        ranks = materialize(ranks.select(F.col("doc").alias("d"), F.col("th").alias("h"), "rank"), "suffix-ranks")
+        ordered = hashed.select("doc", "th").distinct().repartitionByRange(shuffle_partitions(df.sparkSession), F.col("doc").asc_nulls_last(), "th").sortWithinPartitions(F.col("doc").asc_nulls_last(), "th")
+        ranks = materialize(ordered.select(F.col("doc").alias("d"), F.col("th").alias("h"), F.monotonically_increasing_id().alias("rank")), "suffix-ranks")
         docs = hashed.join(ranks, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select(F.col("doc").alias("id"), F.col("rank").alias("doc"), "t")
         docs = materialize(docs, "suffix-ranked")
     spans = repeated_spans(docs.select("doc", "t") if plain else docs.select("doc", "t").dropDuplicates(["doc"]), threshold, gram)
@@ -311,4 +313,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     free_shuffles(df.sparkSession)
     joined = docs.join(spans, "doc", "left").select("id", "t", "los", "ns")
     cut = map_rows(joined, "id", {c: F.col(c) for c in ("t", "los", "ns")}, _cut(threshold), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return cut.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
