@@ -2,9 +2,10 @@
 
 Equal vectors are one class first. Centroids are fitted on a bounded sample, and each vector belongs to the cell
 of the centroid nearest by angle; vectors of one cell are compared. A pair near a border may lie in two cells,
-so the space is cut into cells anew, from other starting centroids, until of pairs of exactly the least cosine,
+so the space is cut into cells anew, from other parts of the sample, until of pairs of exactly the least cosine,
 turned from sampled vectors (not those fitted on) towards their nearest, and of those turned towards any others,
-the share RECALL has met in some run. A pair counts in the first run in which it meets. Cells hold PER_CELL vectors on average at
+the share RECALL has met in some run. Near copies in the sample count once, since a centroid that a dense group
+gets in every run would part its border always alike. A pair counts in the first run in which it meets. Cells hold PER_CELL vectors on average at
 any size: where one clustering would need more than LEVEL centroids, a cell is a cell of each of several
 clusterings. So a vector has as many copies as there are runs, and work grows with the rows and the runs. A
 table no larger than the sample has one cell and is compared exactly.
@@ -28,16 +29,17 @@ from tidemark.llm.components import forest, least_members
 COSINE, RECALL = 0.9, 0.9995
 #: Vectors fitted on at most, lengths with cells of their own, vectors a cell should have, centroids of one
 #: clustering at most, rounds of fitting, rows of a block.
-SAMPLE_ROWS, LENGTHS, PER_CELL, LEVEL, ROUNDS, BLOCK = 8192, 64, 400, 256, 6, 512
+SAMPLE_ROWS, LENGTHS, PER_CELL, LEVEL, ROUNDS, BLOCK = 8192, 64, 400, 256, 2, 512
 #: Sampled vectors that turns are tried from, and how many towards near and towards other ones.
 PROBES, TOWARDS = 1024, 4
 #: Runs at most; where they do not suffice, cells are made fewer.
-MOST_RUNS = 128
+MOST_RUNS = 64
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
-    """k unit centroids of unit rows x; empty cells take the rows that fit worst."""
-    c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
+    """k unit centroids of unit rows x, fitted on 8 k of them; empty cells take the rows that fit worst."""
+    x = x[np.random.default_rng(seed).permutation(len(x))[: 8 * k]]
+    c = x[:k].copy()
     for _ in range(rounds):
         s = x @ c.T
         own = s.argmax(axis=1)
@@ -82,8 +84,10 @@ def fit_runs(x: np.ndarray, n: int, cosine: float = COSINE, recall: float = RECA
     if n <= len(x) or recall >= 1:
         return [[x[:1]]]
     half, pairs = x[::2], turned_pairs(x[1::2], cosine)
+    first = np.concatenate([(rows @ half.T >= cosine).argmax(axis=1) for rows in np.array_split(half, 8)])
+    half = half[first == np.arange(len(half))]
     cells = n / PER_CELL
-    while cells > 1:
+    while cells > 1 and len(half) >= 16:
         levels = max(1, math.ceil(math.log(cells) / math.log(LEVEL)))
         k = max(2, min(round(cells ** (1 / levels)), len(half) // 8))
         runs, apart = [], [np.ones(len(start), dtype=bool) for start, _ in pairs]
@@ -96,7 +100,7 @@ def fit_runs(x: np.ndarray, n: int, cosine: float = COSINE, recall: float = RECA
                 return runs
             if len(runs) == 4 and missed ** (MOST_RUNS / 4) > 1 - recall:
                 break  # MOST_RUNS will not do either
-        cells /= 2
+        cells = min(cells, float(k) ** levels) / 2
     return [[x[:1]]]
 
 
