@@ -195,7 +195,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     def unpacked(sig: pd.Series) -> pd.Series:
         return sig.map(lambda x: np.frombuffer(x, dtype=np.int32))
 
-    firsts = digests.where("key is not null").select("row", "sig").join(classes.select(F.col("first.row").alias("row"), "class"), "row")
+    firsts = digests.where("key is not null").select("row", "sig").join(classes.select(F.col("first.row").alias("row"), "class").hint("merge"), "row")
     firsts = materialize(firsts.select("class", unpacked("sig").alias("sig")), "ngram-signatures")
 
     rows = firsts.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs_needed(similarity, recall))), lambda r: F.xxhash64(r))))
@@ -214,7 +214,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
         elif large.isEmpty():
             break
         else:
-            rows = large.select("path", "class").join(firsts, "class")
+            rows = large.select("path", "class").join(firsts.hint("merge"), "class")
 
     @F.pandas_udf("binary")
     def sketch(sig: pd.Series) -> pd.Series:
@@ -223,7 +223,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
-    members = members.join(firsts.select("class", sketch("sig").alias("sketch")), "class").select("path", "class", "sketch")
+    members = members.join(firsts.select("class", sketch("sig").alias("sketch")).hint("merge"), "class").select("path", "class", "sketch")
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / PLACES)
     parts = shuffle_partitions(spark)
     candidates = members.repartition(parts, "path").sortWithinPartitions("path").mapInPandas(_compare(least), "a bigint, b bigint")
@@ -250,7 +250,8 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
         for pdf in batches:
             yield pdf.assign(tokens=[shingles(t, n).tobytes() for t in pdf["t"]]).drop(columns="t")
 
-    own = docs.join(dealt, ["doc", "th"]).dropDuplicates(["class"])
+    # Both sides grow with the rows, so they meet by shuffles at any size; one shuffle serves both steps.
+    own = docs.join(dealt.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"])
     own = own.select("class", "component", "block", "blocks", "copies", "t").mapInPandas(tokens, "class bigint, component bigint, block int, blocks int, copies bigint, tokens binary")
     # Block k meets every block: as side 0 those from k on, as side 1 those before.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -301,7 +302,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     leaving = materialize(leaving, "ngram-leaving")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     on = lambda rows: (F.col(id_col) == rows["_gone_id"]) & (hashed == rows["_gone_hash"])
-    out = df.join(leaving, on(leaving), "left_anti")
+    out = df.join(leaving.hint("merge"), on(leaving), "left_anti")
     several = leaving.where("_stay > 0")
     if several.isEmpty():
         return out
