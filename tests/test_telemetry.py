@@ -97,3 +97,17 @@ def test_readers_of_folders(spark, tmp_path):
     assert [r["ts"] for r in telemetry.read_source_map(spark, out).collect()] == [1, 2, 3]
     doc = telemetry.to_document(spark.sql("select 7L source_id, timestamp'2024-01-01' ts, 1.5D value"), "value").first()["document"]
     assert json.loads(doc) == {"series_id": "7", "timestamp": 1704067200000000, "data": ["1.5"]}
+
+
+def test_json_is_parsed_once(spark):
+    raw = spark.createDataFrame([("{}",)], "line string")
+    for df, call in ((telemetry.json_points(raw), "parse_json"), (telemetry.otlp_metrics(raw), "from_json")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower().replace("parsejson", "parse_json")
+        plan = plan.replace("jsontostructs", "from_json")
+        assert plan.count(call) == 1, plan
+
+
+def test_last_wins_keeps_the_last_of_equal_keys(spark):
+    df = spark.sql("select array(struct(2L as key, 1.0 as value), struct(1L as key, 2.0 as value), struct(2L as key, 3.0 as value)) as e union all select array()")
+    got = [r[0] for r in df.select(telemetry.last_wins(F.col("e"))).collect()]
+    assert {2: 3, 1: 2} in got and {} in got

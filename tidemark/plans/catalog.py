@@ -353,9 +353,15 @@ def attr_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id as seq, '{\"series_id\":\"' || user_id || '\",\"timestamp\":' || epoch_us(ts) || ',\"data\":[\"' || event_type || '\"]}' as document from events")
 def bulk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_samples(spark, sf_dir)
-    document = F.to_json(F.struct(F.col("source_id").cast("string").alias("series_id"), scalar.micros("ts").alias("timestamp"), F.array("event_type").alias("data")))
-    return e.select("seq", document.alias("document"))
+    return telemetry.to_document(event_samples(spark, sf_dir), "event_type", keep=("seq",))
+
+
+@query("select user_id as source_id, ts, event_id as seq, value from events")
+def sorted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples written in order of time, and read again."""
+    path = scratch_path(spark, "sorted")
+    telemetry.write_sorted(event_samples(spark, sf_dir).select("source_id", "ts", "seq", "value"), path)
+    return telemetry.read_source_map(spark, path)
 
 
 # the store
@@ -442,6 +448,77 @@ def json_points_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("otel_type").agg(F.count("*").alias("n_samples"), F.countDistinct("source_id").alias("n_sources"), F.round(F.sum(F.col("values")[0]["f64"]), 4).alias("total"))
 
 
+def _tagged_points(e: DataFrame) -> DataFrame:
+    """events as points of two values, the first of a kind by event_id, the second the event_id."""
+    seq = F.col("seq").cast("string")
+    tagged = F.element_at(F.array(F.concat(F.lit('{"Float":'), F.col("value").cast("string"), F.lit("}")), F.concat(F.lit('{"Int":-'), seq, F.lit("}")), F.concat(F.lit('{"Uint":'), seq, F.lit("}")), F.concat(F.lit('{"String":"'), F.col("event_type"), F.lit('"}'))), (F.col("seq") % 4 + 1).cast("int"))
+    line = F.concat(F.lit('{"otel_type":"Metric","attributes":{"user":{"Int":'), F.col("source_id").cast("string"), F.lit('}},"timestamp":'), scalar.micros("ts").cast("string"), F.lit(',"values":['), tagged, F.lit(',{"Int":'), seq, F.lit("}]}"))
+    return telemetry.json_points(e.select(line.alias("line")))
+
+
+@query("""
+select event_id as seq, case when event_id % 4 = 0 then round(value, 6) end as f64, case when event_id % 4 = 1 then -event_id end as i64, case when event_id % 4 = 2 then event_id end as u64,
+       case when event_id % 4 = 3 then event_type end as text, ['f64', 'i64', 'u64', 'bytes'][event_id % 4 + 1] as kind, event_id % 4 <> 3 as metric,
+       cast(24 + case when event_id % 4 = 3 then octet_length(encode(event_type)) else 8 end as bigint) as n_bytes from events""")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every kind through tagged JSON lines and the typed accessors."""
+    points = _tagged_points(event_samples(spark, sf_dir))
+    v = F.col("values")[0]
+    return points.select(
+        F.col("values")[1]["i64"].alias("seq"), F.round(v["f64"], 6).alias("f64"), v["i64"].alias("i64"), v["u64"].cast("bigint").alias("u64"), scalar.utf8(v["bytes"]).alias("text"),
+        telemetry.tags_of(F.col("values"))[0].alias("kind"), telemetry.is_metric(F.col("values")).alias("metric"), telemetry.typed_sizes(F.col("values")).alias("n_bytes"),
+    )
+
+
+@query("select kind, count(*) as n_sources from (select arg_min(['f64', 'i64', 'u64', 'bytes'][event_id % 4 + 1] || ',i64', (ts, event_id)) as kind from events group by user_id) group by kind")
+def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of each source by its first point."""
+    kinds = telemetry.source_kinds(_tagged_points(event_samples(spark, sf_dir)))
+    return kinds.groupBy(F.array_join("kinds", ",").alias("kind")).agg(F.count("*").alias("n_sources"))
+
+
+@query("select event_id as seq, -event_id as i64, event_id as u64, ts, props as text from events")
+def cell_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and times from 8-byte big-endian cells, text from bytes."""
+    cell = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
+    e = event_samples(spark, sf_dir).select("seq", cell(-F.col("seq")).alias("a"), cell(F.col("seq")).alias("b"), cell(scalar.micros("ts")).alias("c"), F.encode("props", "UTF-8").alias("d"))
+    return e.select("seq", scalar.big_endian("a", "i64").alias("i64"), scalar.big_endian("b", "u64").cast("bigint").alias("u64"), scalar.big_endian("c", "timestamp").cast("timestamp_ntz").alias("ts"), scalar.utf8("d").alias("text"))
+
+
+@query("select user_id as source_id, cast(ts as date) as day, string_agg(event_type || '=' || n, ',' order by event_type) as vals from (select user_id, ts::date as ts, event_type, count(*) as n from events group by all) group by all")
+def ordered_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of fields a source and day, as values in order of their fields."""
+    counts = event_samples(spark, sf_dir).groupBy("source_id", F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("source_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.concat_ws("=", "event_type", "n")))).alias("value"))
+    return samples.ordered_values(maps).select("source_id", "day", F.array_join("values", ",").alias("vals"))
+
+
+def _rich_metric_lines(e: DataFrame) -> DataFrame:
+    """Sums of three points, the third repeating the attributes of the first, and summaries of three quantiles, one
+    without a number, in turn."""
+    text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))
+    ns = (scalar.micros("ts") * 1000).cast("string").alias("timeUnixNano")
+    point = lambda core, v: F.struct(F.array(text("core", F.lit(core)), text("experiment_id", F.lit("e1"))).alias("attributes"), ns, v.alias("asDouble"))
+    v = F.col("value")
+    sums = F.struct(F.array(point(1, v), point(2, v + 1), point(1, v + 2)).alias("dataPoints"))
+    quantile = lambda q, x: F.struct(q.cast("double").alias("quantile"), x.alias("value"))
+    summary = F.struct(F.array(F.struct(F.array(text("experiment_id", F.lit("e1"))).alias("attributes"), ns, F.array(quantile(F.lit(None), v), quantile(F.lit(0.5), v + 10), quantile(F.lit(1.0), v + 20)).alias("quantileValues"))).alias("dataPoints"))
+    odd = F.col("seq") % 2 == 1
+    metric = F.struct(F.col("event_type").alias("name"), F.when(~odd, sums).alias("sum"), F.when(odd, summary).alias("summary"))
+    resource = F.struct(F.array(text("user", F.col("source_id"))).alias("attributes"))
+    return e.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))).alias("line"))
+
+
+@query("""
+select event_type as name, ts, count(*) as n_metrics, cast(sum(case when event_id % 2 = 0 then 2 else 3 end) as bigint) as n_fields,
+       round(sum(case when event_id % 2 = 0 then 2 * value + 3 else 3 * value + 30 end), 6) as total, count(distinct user_id) as n_sources from events group by event_type, ts""")
+def otlp_sums_and_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums with a repeated point, of which the last counts, and summaries with a field for each quantile."""
+    found = telemetry.otlp_metrics(_rich_metric_lines(event_samples(spark, sf_dir)))
+    total = F.aggregate(F.map_values("value"), F.lit(0.0), lambda a, x: a + x)
+    return found.groupBy("name", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n_metrics"), F.sum(F.size("value").cast("bigint")).alias("n_fields"), F.round(F.sum(total), 6).alias("total"), F.countDistinct("source_id").alias("n_sources"))
+
+
 def _metric_lines(e: DataFrame) -> DataFrame:
     text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))
     point = F.struct(F.array(text("core", F.col("seq") % 4), text("experiment_id", F.lit("e1"))).alias("attributes"), (scalar.micros("ts") * 1000).cast("string").alias("timeUnixNano"), F.col("value").alias("asDouble"))

@@ -26,6 +26,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def _once(raw: DataFrame, parsed: Column) -> DataFrame:
+    """(j) parsed. Exploding an array of one keeps the optimiser from parsing anew for each filter on j."""
+    return raw.select(F.explode(F.array(parsed)).alias("j"))
+
+
 # tagged JSON lines
 
 
@@ -39,7 +44,7 @@ def tagged_value(v: Column) -> Column:
 def json_points(raw: DataFrame, line: str = "line") -> DataFrame:
     """(source_id, ts, otel_type, attributes, values) of JSON lines; points with a Null value, and lines
     that are no such point, are left out. The source is a hash of the attributes in any order."""
-    parsed = raw.select(F.try_parse_json(F.col(line)).alias("j"))
+    parsed = _once(raw, F.try_parse_json(F.col(line)))
     fields = parsed.select(
         F.try_variant_get("j", "$.otel_type", "string").alias("otel_type"), F.try_variant_get("j", "$.attributes", "map<string,variant>").alias("attributes"),
         F.try_variant_get("j", "$.timestamp", "bigint").alias("us"), F.try_variant_get("j", "$.values", "array<variant>").alias("values"),
@@ -113,7 +118,7 @@ def otlp_metrics(raw: DataFrame, line: str = "line", dropped_key: str = "experim
     a repeated one to its last; a summary, which must have one point, has a field for each quantile. All
     points of a metric must have one time; breaking a rule fails the query.
     """
-    parsed = raw.select(F.from_json(line, METRICS).alias("j"))
+    parsed = _once(raw, F.from_json(line, METRICS))
     resources = parsed.select(F.explode("j.resourceMetrics").alias("r"))
     scopes = resources.select(text_attributes(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeMetrics").alias("s"))
     metrics = scopes.select("resource", F.explode("s.metrics").alias("m"))
@@ -136,10 +141,11 @@ def otlp_metrics(raw: DataFrame, line: str = "line", dropped_key: str = "experim
 
 
 def last_wins(entries: Column) -> Column:
-    """Map of an array of (key, value); of equal keys the last entry counts."""
-    size = F.size(entries)
-    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(size - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(kept)
+    """Map of an array of (key, value); of equal keys the last entry counts. Sorted by key and place, an entry
+    counts if the next one has another key."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
+    pairs = F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda a, b: F.struct(a.alias("own"), (b.isNull() | (a["key"] != b["key"])).alias("last")))
+    return F.map_from_entries(F.transform(F.filter(pairs, lambda x: x["last"]), lambda x: F.struct(x["own"]["key"].alias("key"), x["own"]["value"].alias("value"))))
 
 
 # OTLP-style logs and Jaeger-style spans
@@ -183,6 +189,7 @@ def write_sorted(df: DataFrame, path: str) -> None:
     df.sort("ts").write.mode("errorifexists").parquet(path)
 
 
-def to_document(df: DataFrame, *values: str) -> DataFrame:
-    """JSON documents {series_id, timestamp, data} of samples."""
-    return df.select(F.to_json(F.struct(F.col("source_id").cast("string").alias("series_id"), scalar.micros("ts").alias("timestamp"), F.array(*(F.col(v).cast("string") for v in values)).alias("data"))).alias("document"))
+def to_document(df: DataFrame, *values: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON documents {series_id, timestamp, data} of samples, after the columns to keep."""
+    document = F.to_json(F.struct(F.col("source_id").cast("string").alias("series_id"), scalar.micros("ts").alias("timestamp"), F.array(*(F.col(v).cast("string") for v in values)).alias("data")))
+    return df.select(*keep, document.alias("document"))
