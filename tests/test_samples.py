@@ -78,3 +78,17 @@ def test_newest_is_a_top_k(df):
     plan = samples.newest(df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and [r["seq"] for r in samples.newest(df.where("source_id = 1"), 3).collect()] == [39, 38, 37]
     assert samples.add_fields(df, twice=F.col("value") * 2).columns[-1] == "twice"
+
+
+def test_hot_sources_with_many_ties(spark):
+    rows = [(k, 1 + (k % 3 == 0) + 5 * (k % 50 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "source_id bigint, n int").select("source_id", F.explode(F.sequence(F.lit(1), "n")))
+    wanted = sorted(((n, k) for k, n in rows), reverse=True)[:40]
+    got = samples.hot_sources(df).orderBy("rk").collect()
+    assert [(r["n_samples"], r["source_id"], r["rk"]) for r in got] == [(n, k, i + 1) for i, (n, k) in enumerate(wanted)]
+    assert samples.hot_sources(df.limit(0)).count() == 0
+
+
+def test_ranks_need_no_window_over_all_rows(spark):
+    got = samples.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("source_id")), F.desc("source_id"))
+    assert all(r["rk"] == 1000 - r["source_id"] for r in got.collect())

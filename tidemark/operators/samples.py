@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
+from tidemark.session import scratch_path
 
 
 def of_source(df: DataFrame, source) -> DataFrame:
@@ -74,15 +75,31 @@ def source_lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("source_id").agg(F.count("*").alias("n_samples"))
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rk, the place of each row from 1 on in an order without ties. Rows are sorted in ranges, one a
+    task, and written; a row's place is that in its range after the sizes of the ranges before."""
+    spark = df.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, "ranked")
+    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(sizes), "_range").select(*df.columns, place.alias("rk"))  # a row a shuffle partition
+
+
 def hot_sources(df: DataFrame, one_in: int = 10) -> DataFrame:
     """The longest tenth of the sources, ties by the larger id: (source_id, n_samples, rk).
 
-    The rank is over one row a source; the number of rows that stay is known from a count, so the ranking
-    is a top-k and not a window over all sources in one task."""
+    The length of the last one that stays comes from the numbers of sources of each length, of which there are
+    far fewer than sources; only sources of that length or more are ranked, by ranges."""
     lengths = source_lengths(df)
     keep = lengths.count() // one_in
-    top = lengths.orderBy(F.desc("n_samples"), F.desc("source_id")).limit(keep)
-    return top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n_samples"), F.desc("source_id"))).cast("bigint"))
+    before = Window.orderBy(F.desc("n_samples")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lengths.groupBy("n_samples").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    least = sizes.where(F.col("before") < keep).agg(F.min("n_samples")).first()[0]
+    long = lengths.where(F.col("n_samples") >= F.lit(least).cast("bigint"))
+    return ranked(long, F.desc("n_samples"), F.desc("source_id")).where(F.col("rk") <= keep)
 
 
 def length_stats(df: DataFrame) -> DataFrame:
@@ -190,7 +207,7 @@ def expand_sources(df: DataFrame, n: int, bases: DataFrame | None = None) -> Dat
     spark = df.sparkSession
     if bases is None:
         ids = df.select("source_id").distinct()
-        bases = ids.select(F.col("source_id").alias("base_id"), (F.row_number().over(Window.orderBy("source_id")) - 1).alias("position"))
+        bases = ranked(ids, F.asc("source_id")).select(F.col("source_id").alias("base_id"), (F.col("rk") - 1).alias("position"))
     count = bases.count()
     picks = spark.range(n).select(F.col("id").alias("new_id"), F.pmod(F.col("id") * 7919, F.lit(max(1, count))).alias("position"))
     return df.join(bases.join(picks, "position"), df["source_id"] == F.col("base_id")).drop("source_id", "base_id", "position").withColumnRenamed("new_id", "source_id")
