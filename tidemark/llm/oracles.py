@@ -87,13 +87,14 @@ def _secrets() -> str:
     """Spans by kind from the pieces between matches; a weak span stays if a part that completes it is near.
 
     RE2 knows no lookbehind, so the patterns of weak kinds are put otherwise: a user name takes the character
-    before it into the match, and keys are whole runs of their characters."""
+    before it into the match, and a key is a whole run of its characters with all padding behind it, if the padding
+    is short and no further run touches it."""
     user = r"""(^|[^A-Za-z0-9_])(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
     kinds = (  # name, role, pattern, condition on match m, characters of the match before the span
         ("assign", "secret", secrets.STRONG["assign"][0], "length(regexp_extract(m, {p}, 2)) >= 6", "0"),
         ("access", "identifier", secrets.STRONG["access"][0], "length(m) >= 20", "0"),
         ("hex", "secret", secrets.STRONG["hex"][0], "length(m) >= 24", "0"),
-        ("key", "secret", "[A-Za-z0-9+/=]+", "length(m) = 40 and not contains(m, '=')", "0"),
+        ("key", "secret", "[A-Za-z0-9+/]+=*", "length(rtrim(m, '=')) >= 40 and length(m) - length(rtrim(m, '=')) <= 2 and not (touched and m like '%=')", "0"),
         ("user", "identifier", user, "length(regexp_extract(m, {p}, 2)) >= 3", "length(regexp_extract(m, {p}, 1))"),
         ("endpoint", "endpoint", secrets.WEAK["endpoint"][0], "length(m) >= 10", "0"),
     )
@@ -102,7 +103,7 @@ def _secrets() -> str:
         p = "'" + pattern.replace("'", "''") + "'"
         parts.append(f"""
     select doc_id, {k} as kind, '{name}' as name, '{role}' as role, lo + {skip.format(p=p)} as lo, lo + length(m) as hi from (
-        select doc_id, ms[i] as m, cast(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as lo
+        select doc_id, ms[i] as m, i < len(ms) and gs[i + 1] = '' as touched, cast(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as bigint) as lo
         from (select doc_id, regexp_extract_all(t, {p}) as ms, string_split_regex(t, {p}) as gs from texts), unnest(range(1, len(ms) + 1)) as u(i)) where {keep.format(p=p)}""")
     return f"""
 with texts as (select doc_id, coalesce(text, '') as t from documents),
