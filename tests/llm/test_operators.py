@@ -755,12 +755,14 @@ def test_toxicity_by_brute_force(spark):
         labels.append((k, toxic))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     lexicon = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id bigint, toxic int"))
-    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("h")).collect()}
-    parts = [[(plain_fold(t), y) for (i, t), (_, y) in zip(rows, labels) if half[i] == h] for h in (0, 1)]
-    weights, halves = plain_weights(parts[0] + parts[1]), [plain_weights(p) for p in parts]
+    part = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(toxicity.FOLDS)).alias("k")).collect()}
+    parts = [[(plain_fold(t), y) for (i, t), (_, y) in zip(rows, labels) if part[i] == k] for k in range(toxicity.FOLDS)]
+    assert all(parts)
+    weights = plain_weights([r for p in parts for r in p])
+    taught = [plain_weights([r for j, p in enumerate(parts) if j != k for r in p]) for k in range(len(parts))]
     assert {e.strip() + "$" * e.endswith(" "): w for e, w in lexicon.weights.items()} == pytest.approx(weights)
-    x = np.array([plain_features(ws, halves[1 - h]) for h in (0, 1) for ws, _ in parts[h]])
-    factors = plain_factors(x, np.array([y for h in (0, 1) for _, y in parts[h]]))
+    x = np.array([plain_features(ws, taught[k]) for k, p in enumerate(parts) for ws, _ in p])
+    factors = plain_factors(x, np.array([y for p in parts for _, y in p]))
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
     assert all(abs(got[i] - 1 / (1 + np.exp(-plain_features(plain_fold(t), weights) @ factors))) < 1e-3 for i, t in rows)
     assert np.mean([got[i] >= 0.5 for i, y in labels if y]) >= 0.9 and not any(got[i] >= 0.5 for i, y in labels if not y)

@@ -37,6 +37,8 @@ SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST, LEAST_WORDS = 5, 8, 3
 #: Toxic documents an entry must be in, deviations that are taken off their number, least weight.
 LEAST_DOCUMENTS, DEVIATIONS, LEAST_WEIGHT = 3, 1.0, 2.5
+#: Parts of the sample that are scored with what the others teach.
+FOLDS = 8
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()}
 _SUBST = {ord(k): v for k, v in SUBSTITUTES.items()}
@@ -144,44 +146,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def _count_entries(batches):
-    """Rows (entry, toxic0, clean0, toxic1, clean1) that add up to the numbers of documents with each entry, by half."""
-    counts = [Counter() for _ in range(4)]
+def _entries(batches):
+    """Rows (entry, fold, documents) that add up to the numbers of documents with each entry, by fold."""
+    counts: Counter = Counter()
+    for pdf in batches:
+        for t, fold_no in zip(pdf["t"], pdf["fold"]):
+            counts.update((e, fold_no) for e in entries_of(fold(t)))
+            if len(counts) > 300_000:
+                yield _rows_of(counts)
+                counts.clear()
+    yield _rows_of(counts)
 
-    def frames():
-        for which, c in enumerate(counts):
-            keys = list(c)
-            for lo in range(0, len(keys), 50_000):
-                part = keys[lo : lo + 50_000]
-                n = np.array([c[k] for k in part], dtype=np.int64)
-                yield pd.DataFrame({"entry": part, **{name: n * (which == k) for k, name in enumerate(_COUNTS)}})
-            c.clear()
 
-    for pdf in batches:
-        for t, y, half in zip(pdf["t"], pdf["y"], pdf["half"]):
-            counts[2 * half + int(y <= 0)].update(entries_of(fold(t)))
-            if sum(map(len, counts)) > 300_000:
-                yield from frames()
-    yield from frames()
+def _rows_of(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"entry": pd.Series([e for e, _ in counts], dtype="object"), "fold": np.array([k for _, k in counts], dtype="int32"), "documents": np.array(list(counts.values()), dtype="int64")}
+    )
 
 
-_COUNTS = ("toxic0", "clean0", "toxic1", "clean1")
+def _by_fold(found: DataFrame) -> DataFrame:
+    """(entry, n) with n the numbers of documents of each fold."""
+    return found.groupBy("entry").agg(F.array(*(F.sum(F.when(F.col("fold") == k, F.col("documents")).otherwise(0)) for k in range(FOLDS))).alias("n"))
 
 
-def _weights(counted: DataFrame, sizes: dict[str, int], halves: tuple[int, ...]) -> dict[str, float]:
-    """Every entry of LEAST_WEIGHT or more, from the documents of some halves."""
-    total = lambda name: sum((F.col(f"{name}{h}") for h in halves), F.lit(0))
-    n_toxic, n_clean = (sum(sizes[f"{name}{h}"] for h in halves) for name in ("toxic", "clean"))
-    rows = counted.select("entry", total("toxic").alias("toxic"), total("clean").alias("clean")).where("toxic > 0")
-    whole, word = F.col("entry").endswith(" "), F.trim("entry")
+def _weights(sample: DataFrame, sizes: dict[tuple[int, bool], int]) -> list[dict[str, float]]:
+    """For each fold every entry of LEAST_WEIGHT or more that the other folds teach, and at last those that all teach."""
+    toxic = materialize(_by_fold(sample.where("y > 0").mapInPandas(_entries, "entry string, fold int, documents bigint")), "toxicity-entries")
+    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    word = F.trim("entry")
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length(word), F.lit(LONGEST)))
-    begun = rows.where(whole & (F.length(word) >= SHORTEST)).select(F.explode(F.transform(lengths, lambda k: F.concat(F.lit(" "), F.substring(word, F.lit(1), k)))).alias("entry"))
-    begun = begun.groupBy("entry").agg(F.count("*").alias("words")).where(F.col("words") >= LEAST_WORDS)
-    toxic = F.col("toxic") - DEVIATIONS * F.sqrt("toxic")
-    weight = F.log(toxic / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    weighed = rows.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    kept = weighed.where(whole).select("entry", "weight").unionByName(weighed.where(~whole).join(begun, "entry").select("entry", "weight"))
-    return {r["entry"]: r["weight"] for r in kept.collect()}  # words of at most SAMPLE_ROWS rows
+    begun = toxic.where(F.col("entry").endswith(" ") & (F.length(word) >= SHORTEST)).select(
+        F.explode(F.transform(lengths, lambda k: F.concat(F.lit(" "), F.substring(word, F.lit(1), k)))).alias("entry"),
+        *((total > F.col("n")[k]).cast("int").alias(f"w{k}") for k in range(FOLDS)),  # in toxic texts of other folds too
+    )
+    begun = begun.groupBy("entry").agg(F.array(*(F.sum(f"w{k}") for k in range(FOLDS)), F.count("*")).alias("words"))
+    often = toxic.where(total >= LEAST_DOCUMENTS).join(begun, "entry", "left").select("entry", "n", "words").collect()  # entries of at most SAMPLE_ROWS rows
+    wanted = {r["entry"] for r in often}
+
+    def count_wanted(batches):
+        counts: Counter = Counter()
+        for pdf in batches:
+            for t, fold_no in zip(pdf["t"], pdf["fold"]):
+                counts.update((e, fold_no) for e in entries_of(fold(t)) & wanted)
+        yield _rows_of(counts)
+
+    clean = {r["entry"]: r["n"] for r in _by_fold(sample.where("y <= 0").mapInPandas(count_wanted, "entry string, fold int, documents bigint")).collect()}
+    discard(toxic)
+    n_toxic, n_clean = (np.array([sizes.get((k, label), 0) for k in range(FOLDS)]) for label in (True, False))
+    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    for r in often:
+        seen, harmless = np.array(r["n"]), np.array(clean.get(r["entry"], [0] * FOLDS))
+        for k in range(FOLDS + 1):
+            own = np.arange(FOLDS) == k
+            t = int(seen[~own].sum())
+            if t < LEAST_DOCUMENTS or not r["entry"].endswith(" ") and (r["words"] is None or r["words"][k] < LEAST_WORDS):
+                continue
+            weight = math.log((t - DEVIATIONS * math.sqrt(t)) / (n_toxic[~own].sum() + 1)) - math.log((harmless[~own].sum() + 0.5) / (n_clean[~own].sum() + 1))
+            if weight >= LEAST_WEIGHT:
+                out[k][r["entry"]] = weight
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Lexicon:
@@ -189,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The weight of an entry is its log odds in toxic and clean documents, DEVIATIONS taken off the toxic ones;
     every entry of LEAST_WEIGHT or more is in the lexicon, however rare, with no limit on their number but the
-    sample. For the calibration each half of the sample is scored with what the other half alone teaches, so
+    sample. For the calibration each of FOLDS parts of the sample is scored with what the other parts teach, so
     that entries met by chance are not trusted. Null labels and null ids are left out, a repeated id counts
     once, with the text of the smallest hash. Without a toxic row the lexicon is empty and every score is low.
     """
@@ -198,21 +221,19 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         chosen = chosen.where(keep)
     chosen = chosen.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS)
     rows = documents.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")  # SAMPLE_ROWS rows of two numbers at most
-    sample = materialize(one_of_each(rows, "i", F.xxhash64("t")).withColumn("half", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(2)).cast("int")), "toxicity-sample")
+    sample = materialize(one_of_each(rows, "i", F.xxhash64("t")).withColumn("fold", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(FOLDS)).cast("int")), "toxicity-sample")
 
-    sizes = sample.agg(*(F.count(F.when((F.col("half") == int(c[-1])) & ((F.col("y") > 0) == c.startswith("toxic")), 1)).alias(c) for c in _COUNTS)).first().asDict()
-    counted = sample.select("t", "y", "half").mapInPandas(_count_entries, "entry string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    counted = materialize(counted.groupBy("entry").agg(*(F.sum(c).alias(c) for c in _COUNTS)).where("toxic0 + toxic1 > 0"), "toxicity-entries")
-    lexicon, *parts = (Lexicon(_weights(counted, sizes, halves), []) for halves in ((0, 1), (0,), (1,)))
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", (F.col("y") > 0).alias("toxic")).count().collect()}
+    *parts, lexicon = (Lexicon(w, []) for w in _weights(sample.select("t", "y", "fold"), sizes))
 
     def look(batches):
-        other = [p.automaton() for p in reversed(parts)]
+        taught = [p.automaton() for p in parts]
         for pdf in batches:
             folded = [fold(t) for t in pdf["t"]]
-            yield pd.DataFrame({"x": [features(matches(other[h], f), f) for f, h in zip(folded, pdf["half"])], "y": pdf["y"].clip(0, 1).astype("float64")})
+            yield pd.DataFrame({"x": [features(matches(taught[k], f), f) for f, k in zip(folded, pdf["fold"])], "y": pdf["y"].clip(0, 1).astype("float64")})
 
-    seen = sample.select("t", "y", "half").mapInPandas(look, "x array<double>, y double").collect()
-    discard(sample, counted)
+    seen = sample.select("t", "y", "fold").mapInPandas(look, "x array<double>, y double").collect()
+    discard(sample)
     x, y = np.array([r["x"] for r in seen]).reshape(-1, 4), np.array([r["y"] for r in seen])
     lexicon.factors = _logistic(x, y).tolist() if y.sum() and lexicon.weights else [-4.0, 0.0, 0.0, 0.0]
     return lexicon
