@@ -192,19 +192,22 @@ def _weights(sample: DataFrame, sizes: dict[tuple[int, bool], int]) -> list[dict
 
     clean = {r["entry"]: r["n"] for r in _by_fold(sample.where("y <= 0").mapInPandas(count_wanted, "entry string, fold int, documents bigint")).collect()}
     discard(toxic)
-    n_toxic, n_clean = (np.array([sizes.get((k, label), 0) for k in range(FOLDS)]) for label in (True, False))
-    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
-    for r in often:
-        seen, harmless = np.array(r["n"]), np.array(clean.get(r["entry"], [0] * FOLDS))
-        for k in range(FOLDS + 1):
-            own = np.arange(FOLDS) == k
-            t = int(seen[~own].sum())
-            if t < LEAST_DOCUMENTS or not r["entry"].endswith(" ") and (r["words"] is None or r["words"][k] < LEAST_WORDS):
-                continue
-            weight = math.log((t - DEVIATIONS * math.sqrt(t)) / (n_toxic[~own].sum() + 1)) - math.log((harmless[~own].sum() + 0.5) / (n_clean[~own].sum() + 1))
-            if weight >= LEAST_WEIGHT:
-                out[k][r["entry"]] = weight
-    return out
+    entries = [r["entry"] for r in often]
+    whole = np.array([e.endswith(" ") for e in entries], dtype=bool)
+    words = np.array([r["words"] or [0] * (FOLDS + 1) for r in often], dtype=np.int64).reshape(-1, FOLDS + 1)
+    seen = _without_each([r["n"] for r in often])
+    harmless = _without_each([clean.get(e, [0] * FOLDS) for e in entries])
+    n_toxic, n_clean = (_without_each([[sizes.get((k, label), 0) for k in range(FOLDS)]]) for label in (True, False))
+    with np.errstate(divide="ignore", invalid="ignore"):  # entries without toxic texts in the other folds
+        weights = np.log((seen - DEVIATIONS * np.sqrt(seen)) / (n_toxic + 1)) - np.log((harmless + 0.5) / (n_clean + 1))
+        kept = (seen >= LEAST_DOCUMENTS) & (whole[:, None] | (words >= LEAST_WORDS)) & (weights >= LEAST_WEIGHT)
+    return [{entries[j]: float(weights[j, k]) for j in np.flatnonzero(kept[:, k])} for k in range(FOLDS + 1)]
+
+
+def _without_each(by_fold: list[list[int]]) -> np.ndarray:
+    """Sums of each row without its first fold, without its second, and so on, and at last of all folds."""
+    n = np.array(by_fold, dtype=np.int64).reshape(-1, FOLDS)
+    return np.hstack([n.sum(axis=1, keepdims=True) - n, n.sum(axis=1, keepdims=True)])
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Lexicon:
