@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import samples
+from tidemark.plans import catalog
 from tidemark.sources import telemetry
 
 
@@ -111,3 +112,15 @@ def test_last_wins_keeps_the_last_of_equal_keys(spark):
     df = spark.sql("select array(struct(2L as key, 1.0 as value), struct(1L as key, 2.0 as value), struct(2L as key, 3.0 as value)) as e union all select array()")
     got = [r[0] for r in df.select(telemetry.last_wins(F.col("e"))).collect()]
     assert {2: 3, 1: 2} in got and {} in got
+
+
+def test_points_of_a_metric_are_hashed_once(spark):
+    plan = telemetry.otlp_metrics(spark.createDataFrame([("{}",)], "line string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 3 and "array_sort" not in plan, plan  # a source, a number's point and a quantile
+
+
+@pytest.mark.parametrize("query", [catalog.otlp_sums_and_summaries, catalog.otlp_metrics_flatten])
+def test_metrics_are_dealt_out_before_they_are_parsed(spark, sf_dir, query):
+    assert "RepartitionByExpression" in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    shares = [r["count"] for r in catalog._dealt(catalog.event_samples(spark, sf_dir)).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 4 and max(shares) < 2 * sum(shares) / len(shares)

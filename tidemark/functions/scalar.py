@@ -43,7 +43,8 @@ def nanos(text: Column | str) -> Column:
 
 def nanos_to_timestamp(ns: Column | str) -> Column:
     """Timestamp of nanoseconds, floored to microseconds."""
-    return F.timestamp_micros(F.floor(_column(ns) / F.lit(1000).cast("decimal(20,0)")).cast("bigint"))
+    ns, thousand = _column(ns).cast("bigint"), F.lit(1000).cast("bigint")
+    return F.timestamp_micros(F.call_function("div", ns, thousand) - (ns % thousand < 0).cast("bigint"))
 
 
 def range_before(now_us: int, delay_s: float, span_s: float) -> tuple[int, int]:

@@ -493,6 +493,13 @@ def ordered_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.ordered_values(maps).select("source_id", "day", F.array_join("values", ",").alias("vals"))
 
 
+def _dealt(e: DataFrame) -> DataFrame:
+    """Samples in even shares. A scan has no more tasks with rows than its files have row groups, too few for
+    metrics, of which a row takes far longer to write and parse as JSON than to shuffle."""
+    spark = e.sparkSession
+    return e.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "seq", "source_id", "ts")
+
+
 def _rich_metric_lines(e: DataFrame) -> DataFrame:
     """Sums of three points, the third repeating the attributes of the first, and summaries of three quantiles, one
     without a number, in turn."""
@@ -514,7 +521,7 @@ select event_type as name, ts, count(*) as n_metrics, cast(sum(case when event_i
        round(sum(case when event_id % 2 = 0 then 2 * value + 3 else 3 * value + 30 end), 6) as total, count(distinct user_id) as n_sources from events group by event_type, ts""")
 def otlp_sums_and_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums with a repeated point, of which the last counts, and summaries with a field for each quantile."""
-    found = telemetry.otlp_metrics(_rich_metric_lines(event_samples(spark, sf_dir)))
+    found = telemetry.otlp_metrics(_rich_metric_lines(_dealt(event_samples(spark, sf_dir))))
     total = F.aggregate(F.map_values("value"), F.lit(0.0), lambda a, x: a + x)
     return found.groupBy("name", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n_metrics"), F.sum(F.size("value").cast("bigint")).alias("n_fields"), F.round(F.sum(total), 6).alias("total"), F.countDistinct("source_id").alias("n_sources"))
 
@@ -529,7 +536,7 @@ def _metric_lines(e: DataFrame) -> DataFrame:
 
 @query("select event_type as name, ts, count(*) as n_samples, round(sum(value), 6) as total from events group by event_type, ts")
 def otlp_metrics_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = telemetry.otlp_metrics(_metric_lines(event_samples(spark, sf_dir)))
+    found = telemetry.otlp_metrics(_metric_lines(_dealt(event_samples(spark, sf_dir))))
     total = F.aggregate(F.map_values("value"), F.lit(0.0), lambda a, x: a + x)
     return found.groupBy("name", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n_samples"), F.round(F.sum(total), 6).alias("total"))
 

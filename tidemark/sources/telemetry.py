@@ -5,6 +5,8 @@ All are scans of text with JSON parsed in the JVM; a directory is read by as man
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _once(raw: DataFrame, parsed: Column) -> DataFrame:
     return raw.select(F.explode(F.array(parsed)).alias("j"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row: a column that then names twice would be computed twice."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 # tagged JSON lines
 
 
@@ -76,23 +83,23 @@ def source_kinds(points: DataFrame) -> DataFrame:
     return first.select("source_id", tags_of(F.col("v")).alias("kinds"))
 
 
-# attribute lists
+# attribute lists, sorted by sort_array: array_sort calls a comparator for each two elements
 
 
 def text_attributes(attributes: Column) -> Column:
     """Sorted (key, value) of OTLP attributes with a text value."""
     texts = F.filter(attributes, lambda a: a["value"]["stringValue"].isNotNull())
-    return F.array_sort(F.transform(texts, lambda a: F.struct(a["key"].alias("key"), a["value"]["stringValue"].alias("value"))))
+    return F.sort_array(F.transform(texts, lambda a: F.struct(a["key"].alias("key"), a["value"]["stringValue"].alias("value"))))
 
 
 def typed_tags(tags: Column) -> Column:
     """Sorted (key, value as text) of typed tags."""
     value = lambda t: F.coalesce(t["vInt64"], t["vStr"], t["vFloat64"].cast("string"), t["vBool"].cast("string"))
-    return F.array_sort(F.transform(tags, lambda t: F.struct(t["key"].alias("key"), value(t).alias("value"))))
+    return F.sort_array(F.transform(tags, lambda t: F.struct(t["key"].alias("key"), value(t).alias("value"))))
 
 
 def with_attribute(attributes: Column, key: str, value: Column) -> Column:
-    return F.array_sort(F.concat(attributes, F.array(F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))))
+    return F.sort_array(F.concat(attributes, F.array(F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))))
 
 
 def without_attribute(attributes: Column, key: str) -> Column:
@@ -125,27 +132,30 @@ def otlp_metrics(raw: DataFrame, line: str = "line", dropped_key: str = "experim
     numbers = F.coalesce("m.gauge.dataPoints", "m.sum.dataPoints")
     found = metrics.select("resource", F.col("m.name").alias("name"), numbers.alias("numbers"), F.col("m.summary.dataPoints").alias("summary"))
     found = found.withColumn("points", F.coalesce("numbers", "summary")).where(F.size("points") > 0)
-    times = F.array_distinct(F.transform("points", lambda p: p["timeUnixNano"]))
-    bare = lambda p: without_attribute(text_attributes(p["attributes"]), dropped_key)
+    time = F.get("points", 0)["timeUnixNano"]
+    one_time = F.forall("points", lambda p: p["timeUnixNano"].eqNullSafe(time))
+    bare = lambda p: text_attributes(without_attribute(p["attributes"], dropped_key))
     entry = lambda p: F.struct(_json_hash(bare(p)).alias("key"), p["asDouble"].alias("value"))
-    quantile = lambda p: F.transform(p["quantileValues"], lambda q: F.struct(_json_hash(with_attribute(bare(p), "quantile", scalar.quantile_key(q["quantile"]))).alias("key"), q["value"].alias("value")))
+    field = lambda b, q: F.struct(_json_hash(with_attribute(b, "quantile", scalar.quantile_key(q["quantile"]))).alias("key"), q["value"].alias("value"))
+    quantile = lambda p: _let(bare(p), lambda b: F.transform(p["quantileValues"], lambda q: field(b, q)))
     entries = F.when(F.col("numbers").isNotNull(), F.transform("numbers", entry)).otherwise(F.flatten(F.transform("summary", quantile)))
     named = F.forall("points", lambda p: F.exists(p["attributes"], lambda a: a["key"] == dropped_key))
     checked = found.where(
-        F.assert_true(F.size(times) == 1, "the points of a metric have several times").isNull()
+        F.assert_true(one_time, "the points of a metric have several times").isNull()
         & F.assert_true(named, f"a data point has no {dropped_key}").isNull()
         & F.assert_true(F.col("numbers").isNotNull() | (F.size("summary") == 1), "a summary has several points").isNull()
     )
-    ns = scalar.nanos(F.get(times, 0))
+    ns = scalar.nanos(time)
     return checked.select(_json_hash(F.col("resource"), F.col("name")).alias("source_id"), scalar.nanos_to_timestamp(ns).alias("ts"), ns.alias("ts_ns"), "name", last_wins(entries).alias("value"))
 
 
 def last_wins(entries: Column) -> Column:
     """Map of an array of (key, value); of equal keys the last entry counts. Sorted by key and place, an entry
     counts if the next one has another key."""
-    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
-    pairs = F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda a, b: F.struct(a.alias("own"), (b.isNull() | (a["key"] != b["key"])).alias("last")))
-    return F.map_from_entries(F.transform(F.filter(pairs, lambda x: x["last"]), lambda x: F.struct(x["own"]["key"].alias("key"), x["own"]["value"].alias("value"))))
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
+    last = lambda own, after: after.isNull() | (own["key"] != after["key"])
+    kept = _let(placed, lambda all_: F.filter(all_, lambda e, i: last(e, F.get(all_, i + 1))))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 # OTLP-style logs and Jaeger-style spans
